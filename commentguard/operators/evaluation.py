@@ -4,6 +4,8 @@ All metrics derive from one small cube: the row counts by (slice, actual,
 predicted).  Counting it is the only pass over the data and the only shuffle.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from commentguard import fixed_values as fv
@@ -55,12 +57,11 @@ def confusion_counts(
 
 def confusion_matrix(counts: DataFrame, labels: list[str] = fv.ACTIONS) -> DataFrame:
     """Every (actual, predicted) cell with its count, zeros included."""
-    cells = counts.sparkSession.createDataFrame(
-        [(a, p) for a in labels for p in labels], "actual string, predicted string"
-    )
-    return cells.join(counts.select("actual", "predicted", "n"), ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("n", F.lit(0)).alias("n")
+    empty = counts.sparkSession.createDataFrame(
+        [(a, p, 0) for a in labels for p in labels], "actual string, predicted string, n long"
     )
+    cells = counts.select("actual", "predicted", "n").unionByName(empty)
+    return cells.groupBy("actual", "predicted").agg(F.sum("n").alias("n"))
 
 
 def class_metrics(
@@ -172,29 +173,75 @@ def eval_report(
     counts: DataFrame, by: str = "language_mix", dataset: str = "", version: str = "",
     revision: str = "", skipped: int = 0,
 ) -> DataFrame:
-    """The whole report as one row; ``counts`` is the cube by (by, actual, predicted)."""
-    overall = counts.groupBy("actual", "predicted").agg(F.sum("n").alias("n"))
-    metrics = class_metrics(overall)
-    summary = summary_metrics(metrics).select(
-        F.lit(1).alias("_one"), "total",
-        *[round_nearest(F.col(c), 4).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")],
+    """The whole report as one row; ``counts`` is the cube by (by, actual, predicted).
+
+    Each cell counts for its slice and for the total.  A slice becomes one row of
+    nine counts, and every figure is arithmetic on those, so the cube, and the
+    data below it, is read once.
+    """
+    slices = F.array(
+        F.struct(F.lit(True).alias("total"), F.lit(None).cast("string").alias("name")),
+        F.struct(F.lit(False).alias("total"), F.col(by).cast("string").alias("name")),
     )
+    pairs = [(a, p) for a in fv.ACTIONS for p in fv.ACTIONS]
+
+    def cell(a: str, p: str) -> Column:
+        return F.col(f"{a}/{p}")
+
+    def added(columns: list[Column]) -> Column:
+        return reduce(lambda x, y: x + y, columns)
+
+    rows = counts.withColumn("slice", F.explode(slices)).groupBy("slice").agg(*[
+        F.sum(F.when((F.col("actual") == a) & (F.col("predicted") == p), F.col("n")).otherwise(0)).alias(f"{a}/{p}")
+        for a, p in pairs
+    ])
+    figures = {}
+    for a in fv.ACTIONS:
+        figures[f"{a} support"] = added([cell(a, p) for p in fv.ACTIONS])
+        figures[f"{a} precision"] = ratio(cell(a, a), added([cell(x, a) for x in fv.ACTIONS]))
+        figures[f"{a} recall"] = ratio(cell(a, a), figures[f"{a} support"])
+    rows = rows.withColumns(figures)
+    rows = rows.withColumns({
+        f"{a} f1": ratio(
+            F.lit(2.0) * F.col(f"{a} precision") * F.col(f"{a} recall"),
+            F.col(f"{a} precision") + F.col(f"{a} recall"),
+        )
+        for a in fv.ACTIONS
+    })
+    supports = {a: F.col(f"{a} support") for a in fv.ACTIONS}
+    f1 = {a: F.col(f"{a} f1") for a in fv.ACTIONS}
+    total = added(list(supports.values()))
+    rows = rows.withColumns({
+        "count": total,
+        "accuracy": ratio(added([cell(a, a) for a in fv.ACTIONS]), total),
+        "macro_f1": ratio(
+            added([F.when(supports[a] > 0, f1[a]).otherwise(0.0) for a in fv.ACTIONS]),
+            added([(supports[a] > 0).cast("int") for a in fv.ACTIONS]),
+        ),
+        "weighted_f1": ratio(added([f1[a] * supports[a] for a in fv.ACTIONS]), total),
+    })
+    measured = [c for c in rows.columns if c.split(" ")[-1] in {"precision", "recall", "f1", "accuracy", "macro_f1", "weighted_f1"}]
+    rows = rows.withColumns({c: round_nearest(F.col(c), 4) for c in measured})
+    rows = rows.withColumns({
+        "per_class": F.array(*[
+            F.struct(F.lit(a).alias("label"), *[F.col(f"{a} {m}").alias(m) for m in ("precision", "recall", "f1", "support")])
+            for a in fv.ACTIONS
+        ]),
+        "confusion": F.array(*[
+            F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), cell(a, p).alias("n")) for a, p in pairs
+        ]),
+    })
+    whole = F.col("slice.total")
 
-    def as_list(frame: DataFrame, name: str, key: str) -> DataFrame:
-        listed = F.sort_array(F.collect_list(F.struct(key, *[c for c in frame.columns if c != key])))
-        return frame.groupBy(F.lit(1).alias("_one")).agg(listed.alias(name))
+    def of_total(name: str) -> Column:
+        return F.max_by(name, whole).alias(name)
 
-    rounded = metrics.select(
-        "label", *[round_nearest(F.col(c), 4).alias(c) for c in ("precision", "recall", "f1")], "support"
-    )
-    parts = [
-        as_list(rounded, "per_class", "label"),
-        as_list(confusion_matrix(overall), "confusion", "actual"),
-        as_list(metrics_by(counts, by), "per_language", by),
-    ]
-    for part in parts:  # one row each
-        summary = summary.join(part, "_one")
-    return summary.drop("_one").withColumns({
+    per_slice = F.struct(F.col("slice.name").alias(by), "count", "accuracy", "macro_f1")
+    return rows.agg(
+        F.max_by("count", whole).alias("total"),
+        *[of_total(c) for c in ("accuracy", "macro_f1", "weighted_f1", "per_class", "confusion")],
+        F.sort_array(F.collect_list(F.when(~whole, per_slice))).alias("per_language"),
+    ).withColumns({
         "dataset_path": F.lit(dataset),
         "generated_at": F.current_timestamp(),
         "engine_version": F.lit(version),

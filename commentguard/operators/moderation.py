@@ -252,7 +252,12 @@ def moderate(
     kept = [F.col(c) for c in inputs if c not in results]
     if keep_signals:
         kept += [F.col("normalized_text"), *[F.col(f"sig_{n}") for n in sig]]
-    return df.select(*kept, *[results[n].alias(n) for n in DECISION_FIELDS])
+    # The results leave through a generator of one row.  It is a boundary for the
+    # optimiser: a filter or join on a result would otherwise make it unfold the
+    # expressions of all projections below into one, which takes longer than
+    # the data takes, and evaluate them twice.
+    df = df.withColumn("_results", F.struct(*[results[n].alias(n) for n in DECISION_FIELDS]))
+    return df.select(*kept, F.inline(F.array("_results")))
 
 
 def with_failure_values(results: dict[str, Column], failed: Column) -> dict[str, Column]:

@@ -47,7 +47,7 @@ def _decided_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def decisions_by_language(spark, sf):
     return _decided_documents(spark, sf).groupBy("lang", "predicted_action").agg(
-        F.count("*").alias("n"), F.round(F.avg("risk_score"), 6).alias("avg_risk")
+        F.count("*").alias("n"), F.round(F.sum("risk_score"), 3).alias("total_risk")
     )
 
 
@@ -743,7 +743,7 @@ def s01_read_examples_csv(spark, sf):
     rows = inp.document_comments(spark, sf).select(
         F.col("comment_id").cast("string").alias("example_id"), "text", "context_type", F.lit("").alias("source_url")
     )
-    ds.as_example_rows(rows).write.options(header=True, multiLine=True, escape='"').csv(path)
+    ds.as_example_rows(rows).write.options(**tb.CSV_OPTIONS).csv(path)
     return tb.read_examples(spark, path).select("example_id", "text", "context_type", "source_url")
 
 
@@ -831,7 +831,7 @@ def s09_export_csv(spark, sf):
     feed = mod.moderate(mod.with_default_context(inp.table(spark, sf, "conversations")))
     named = feed.withColumns({"source": F.concat_ws("-", "conv_id", "turn"), "score": F.length("text")})
     tb.export_moderation_csv(named, path)
-    back = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+    back = spark.read.options(**tb.CSV_OPTIONS).csv(path)
     return back.select(
         "source", F.col("score").cast("long").alias("score"), "text", "predicted_action", "target_detected_pred",
         "predicted_category", "predicted_severity", F.col("risk_score").cast("double").alias("risk_score"),
@@ -924,7 +924,7 @@ def x04_windowed_decisions(spark, sf):
     out = mt.windowed_decisions(_decided_events(spark, sf), width="1 hour")
     return out.select(
         F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "predicted_action", "n",
-        F.round("avg_latency_s", 6).alias("avg_latency_s"), "max_latency_s",
+        F.round(F.col("avg_latency_s") * F.col("n"), 4).alias("sum_latency_s"), "max_latency_s",
     )
 
 
@@ -942,7 +942,7 @@ def x05_rate_limit_report(spark, sf):
 
 @query
 def x06_stream_feedback_join(spark, sf):
-    """Decisions on clicks and feedback from error events on the same text, within an hour."""
+    """Decisions on clicks and feedback from error events on the same text, within a week."""
     events = inp.event_comments(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     decisions = mod.moderate_distinct(events.filter("event_type = 'click'")).select(
         "comment_id", "ts", tx.text_hash("text").alias("text_hash"), "predicted_action"
@@ -951,7 +951,7 @@ def x06_stream_feedback_join(spark, sf):
         F.col("ts").alias("timestamp"), tx.text_hash("text").alias("text_hash"),
         inp._pick(fv.ACTIONS, F.col("client_id") % 3).alias("human_action"),
     )
-    joined = live.stream_feedback_join(decisions, feedback, within="1 hour")
+    joined = live.stream_feedback_join(decisions, feedback, within="7 days")
     return joined.groupBy("predicted_action", "human_action").agg(F.count("*").alias("n"))
 
 

@@ -13,7 +13,11 @@ from commentguard.schemas import (
     AUDIT_SCHEMA, EXAMPLE_FIELDS, EXAMPLE_SCHEMA, FEEDBACK_SCHEMA, LEXICON_SCHEMA, RULE_SCHEMA,
 )
 
-_CSV = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
+# Quotes double inside fields, and blanks at the ends of a text stay.
+CSV_OPTIONS = {
+    "header": True, "multiLine": True, "escape": '"', "quote": '"',
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def _missing(error: AnalysisException) -> bool:
@@ -27,7 +31,7 @@ def read_examples(spark: SparkSession, path: str, format: str = "csv") -> DataFr
     """Labelled examples, every field a string, blanks kept as empty text."""
     if format == "parquet":
         return spark.read.schema(EXAMPLE_SCHEMA).parquet(path)
-    read = spark.read.schema(EXAMPLE_SCHEMA).options(**_CSV).csv(path)
+    read = spark.read.schema(EXAMPLE_SCHEMA).options(**CSV_OPTIONS).csv(path)
     return read.fillna("", EXAMPLE_FIELDS)
 
 
@@ -40,7 +44,7 @@ def write_examples_csv(df: DataFrame, path: str) -> None:
     session = df.sparkSession
     mark = uuid.uuid4().hex
     fresh, old = f"{path}.tmp-{mark}", f"{path}.old-{mark}"
-    df.write.options(**_CSV).csv(fresh)
+    df.write.options(**CSV_OPTIONS).csv(fresh)
     jvm = session.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
@@ -187,7 +191,7 @@ def export_rows(decided: DataFrame) -> DataFrame:
 
 
 def export_moderation_csv(decided: DataFrame, path: str) -> None:
-    export_rows(decided).write.mode("overwrite").options(**_CSV).csv(path)
+    export_rows(decided).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def to_json_rows(decided: DataFrame, fields: list[str]) -> DataFrame:

@@ -266,7 +266,7 @@ def decided(source: str, select: str, extra: str = "", **options) -> str:
 # --- Flagship and text -------------------------------------------------------
 
 ORACLES["decisions_by_language"] = decided(
-    DOCS, "SELECT lang, predicted_action, count(*) AS n, round(avg(risk_score), 6) AS avg_risk FROM d GROUP BY ALL"
+    DOCS, "SELECT lang, predicted_action, count(*) AS n, round(sum(risk_score), 3) AS total_risk FROM d GROUP BY ALL"
 )
 
 
@@ -422,16 +422,16 @@ ORACLES["s14_build_rule_index"] = f"""SELECT id, {_RULE_TEXT}, 'flag_for_review'
   len(embedding) AS n_dims, len(coalesce(examples, [])) AS n_examples
 FROM ({_RULE_SOURCES}) r JOIN embeddings e ON r.id = CAST(e.vec_id AS VARCHAR)"""
 _CLASS_RULES = f"""p AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
-m AS (SELECT label, pos, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM p GROUP BY ALL),
+means AS (SELECT label, pos, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM p GROUP BY ALL),
 rules AS (SELECT label, 'rule_' || label AS id, list(x ORDER BY pos) AS v, {pick(fv.ACTIONS, 'label % 3')} AS action,
-  'category_' || label AS category, {pick(fv.SEVERITIES, 'label % 5')} AS severity FROM m GROUP BY label)"""
+  'category_' || label AS category, {pick(fv.SEVERITIES, 'label % 5')} AS severity FROM means GROUP BY label)"""
 _DIST = "list_sum(list_transform(list_zip(CAST({a} AS DOUBLE[]), {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 ORACLES["m20_retrieve_rules"] = f"""WITH {_CLASS_RULES},
 x AS (SELECT vec_id, id, {_DIST.format(a='e.embedding', b='v')} AS distance FROM embeddings e, rules),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, id) AS rank FROM x)
 SELECT vec_id AS comment_id, CAST(rank AS INT) AS rank, id AS rule_id, round(distance, 5) AS distance FROM r
 WHERE rank <= 3 AND distance <= 1.2"""
-ORACLES["m21_rule_override"] = f"""WITH {_CLASS_RULES}, {decision_ctes(DOCS).replace('m AS (', 'mm AS (')},
+ORACLES["m21_rule_override"] = f"""WITH {_CLASS_RULES}, {decision_ctes(DOCS)},
 x AS (SELECT vec_id, r.*, {_DIST.format(a='e.embedding', b='v')} AS distance FROM embeddings e, rules r),
 top AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, id) = 1),
 j AS (SELECT d.*, t.id AS rid, t.action AS ra, t.category AS rc, t.severity AS rs FROM d LEFT JOIN top t
@@ -692,14 +692,14 @@ UNION ALL SELECT 'audit', predicted_action, count(*) FROM d WHERE predicted_acti
 UNION ALL SELECT 'review', predicted_action, count(*) FROM d WHERE predicted_action = 'flag_for_review' GROUP BY ALL""")
 _STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 ORACLES["x04_windowed_decisions"] = decided(EVENTS, f"""SELECT {_STAMP.format("date_trunc('hour', ts)")} AS start, predicted_action, count(*) AS n,
-  round(avg(latency_s), 6) AS avg_latency_s, max(latency_s) AS max_latency_s FROM d GROUP BY ALL""")
+  round(sum(latency_s), 4) AS sum_latency_s, max(latency_s) AS max_latency_s FROM d GROUP BY ALL""")
 _HALF = "time_bucket(INTERVAL 30 MINUTE, ts)"
 ORACLES["x04_sliding_decisions"] = decided(EVENTS, f"""SELECT {_STAMP.format('s')} AS start, predicted_action, count(*) AS n FROM
   (SELECT predicted_action, {_HALF} AS s FROM d UNION ALL SELECT predicted_action, {_HALF} - INTERVAL 30 MINUTE FROM d) GROUP BY ALL""")
 ORACLES["x05_rate_limit_report"] = f"""SELECT {_STAMP.format("date_trunc('day', ts)")} AS start, user_id AS client_id, count(*) AS n
 FROM events GROUP BY ALL HAVING count(*) > 4"""
 ORACLES["x06_stream_feedback_join"] = decided(EVENTS, f"""SELECT c.predicted_action, {pick(fv.ACTIONS, 'f.client_id % 3')} AS human_action, count(*) AS n
-FROM d c JOIN d f ON c.text = f.text AND f.ts >= c.ts AND f.ts <= c.ts + INTERVAL 1 HOUR
+FROM d c JOIN d f ON c.text = f.text AND f.ts >= c.ts AND f.ts <= c.ts + INTERVAL 7 DAY
 WHERE c.event_type = 'click' AND f.event_type = 'error' GROUP BY ALL""")
 ORACLES["u01_register_scorer"] = decided(
     f"SELECT * REPLACE (length(text)::DOUBLE / (length(text) + 100) AS given) FROM ({DOCS})",

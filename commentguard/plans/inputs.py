@@ -15,7 +15,17 @@ from commentguard.plans.sample_texts import SAMPLE_COMMENTS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out when a table has fewer files than the session has cores.
+
+    Text work is bound by the processor, and a small file is one task.  A table
+    of many files is left as it is: its scan is parallel without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -79,7 +89,7 @@ def event_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, read as a stream."""
-    schema: T.StructType = table(spark, sf_dir, "events").schema
+    schema: T.StructType = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return with_sample_text(events)
 

@@ -188,8 +188,13 @@ def language_mix(c: Column | str) -> Column:
 
 
 def collapse_space(c: Column | str) -> Column:
-    """Runs of white space to one blank, none at the ends."""
-    return F.trim(F.regexp_replace(_text(c), f"[{fv.SPACE}]+", " "))
+    """Runs of white space to one blank, none at the ends.
+
+    Single blanks, nearly all of it, are left alone, so there is little to
+    replace.
+    """
+    blanks = F.regexp_replace(_text(c), f"[{fv.SPACE}&&[^ ]]", " ")
+    return F.trim(F.regexp_replace(blanks, " {2,}", " "))
 
 
 def redact_text(c: Column | str) -> Column:

@@ -8,6 +8,7 @@ from commentguard.functions import text as tx
 from commentguard.functions.numeric import round_nearest
 from commentguard.operators import lexicon as lx
 from commentguard.operators.normalize import with_normalized
+from commentguard.operators.ranks import SALTS, salted_join
 from commentguard.operators.retrieval import apply_rule_override, with_nearest_rules
 from commentguard.schemas import DECISION_FIELDS, REQUEST_FIELDS
 
@@ -271,30 +272,24 @@ def with_failure_values(results: dict[str, Column], failed: Column) -> dict[str,
     return {n: F.when(failed.isNotNull(), constants[n]).otherwise(c) for n, c in results.items()}
 
 
-def moderate_distinct(df: DataFrame, **options) -> DataFrame:
+def moderate_distinct(df: DataFrame, salts: int = SALTS, **options) -> DataFrame:
     """Moderate every distinct request once and join the decisions back.
 
-    Worth it when texts repeat a lot.  The key is a hash of all six request
-    fields.  Distinct requests combine before the shuffle, and the decisions of
-    requests that repeat often meet their copies through a salted join, so one
-    request that makes up much of the input does not land in one task.
+    Worth it when requests repeat more than ``salts`` times on average.  The key
+    is a hash of all six request fields.  Equal requests combine before the
+    shuffle, and the decisions meet their copies in a salted join, so a request
+    that makes up much of the input does not land in one task.
     """
-    salts = 16
     df = with_default_fields(df)
     keyed = df.withColumn(
         "_request",
         F.sha2(F.to_json(F.struct(*REQUEST_FIELDS), {"ignoreNullFields": "false"}), 256),
     )
-    others = [c for c in df.columns if c not in REQUEST_FIELDS]
     requests = keyed.groupBy("_request").agg(*[F.first(c).alias(c) for c in REQUEST_FIELDS])
     decided = moderate(requests, key="_request", **options).select("_request", *DECISION_FIELDS)
-    decided = decided.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>"))
-    )
-    salted = keyed.select(
-        "_request", *others, *[c for c in REQUEST_FIELDS if c != "model_toxicity_score"]
-    ).withColumn("_salt", F.pmod(F.xxhash64(*(others or ["_request"])), F.lit(salts)))
-    return salted.join(decided, ["_request", "_salt"]).drop("_request", "_salt")
+    own = keyed.drop("model_toxicity_score")
+    spread_by = [c for c in df.columns if c not in REQUEST_FIELDS] or ["_request"]
+    return salted_join(own, decided, "_request", spread_by, salts=salts).drop("_request")
 
 
 def risk_band_counts(decided: DataFrame) -> DataFrame:

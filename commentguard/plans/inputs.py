@@ -19,13 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out when a table has fewer files than the session has cores.
+    """Deal the rows out when a scan has fewer splits than the session has cores.
 
-    Text work is bound by the processor, and a small file is one task.  A table
-    of many files is left as it is: its scan is parallel without a shuffle.
+    Text work is bound by the processor, and a small file is one task.  A large
+    table is left as it is: its scan is parallel without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -28,14 +28,21 @@ def bucket_links(rows: DataFrame, close: Callable[[bytes, bytes], bool], partiti
         bucket = centre = before = None
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for key, node, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != bucket:
-                    bucket, centre = key, (node, sketch)
-                else:
+            keys, nodes, sketches = batch.columns
+            same = np.empty(len(keys), bool)
+            values = keys.to_numpy()
+            same[1:] = values[1:] == values[:-1]
+            same[:1] = values[:1] == bucket if bucket is not None else False
+            # Only rows that share their bucket with the row before or after are looked at.
+            for k in np.flatnonzero(same | np.r_[same[1:], True]).tolist():
+                row = nodes[k].as_py(), sketches[k].as_py()
+                if same[k]:
                     for other, theirs in {centre, before}:
-                        if other != node and close(theirs, sketch):
-                            found.add((min(other, node), max(other, node)))
-                before = (node, sketch)
+                        if other != row[0] and close(theirs, row[1]):
+                            found.add((min(other, row[0]), max(other, row[0])))
+                else:
+                    centre = row
+                bucket, before = int(values[k]), row
             ends = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from commentguard.llm.decontaminate import benchmark_overlap
+from commentguard.llm.line_dedup import dedup_lines
+from commentguard.llm.mixing import mix_sources
 from commentguard.llm.near_dedup import near_duplicates
+from commentguard.llm.quality_rules import quality_cascade, with_figures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -23,3 +27,38 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def contamination(overlap: DataFrame) -> DataFrame:
+    """The counts and the digest of item ids of ``benchmark_overlap``."""
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["word_end"] - r["word_start"])
+    return overlap.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+@query
+def op8_benchmark_decontamination(spark, sf_dir):
+    return contamination(benchmark_overlap(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+@query
+def op9_line_dedup(spark, sf_dir):
+    return dedup_lines(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_source_mixing(spark, sf_dir):
+    mixed = mix_sources(read(spark, sf_dir, "documents"), 1 + (F.col("place") - 1) % 3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op1_quality_rules(spark, sf_dir):
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    texts = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = with_figures(texts, [*base, "n_lines", "n_capitals"])
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    judged = quality_cascade(docs, measured_on=texts)
+    return judged.select("doc_id", *base, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 #: A-Z become a-z, what is not of a word becomes a blank; bytes keep their places.
@@ -18,7 +17,7 @@ _WORD = re.compile(rb"[^ ]+")
 #: Most bytes of item text in one automaton; a larger benchmark takes one pass for each such part.
 PART_BYTES = 1_000_000
 RUN = "struct<word_start:int,word_end:int,start:int,end:int>"
-HITS = f"doc_id long, text_key binary, n_words long, items array<string>, runs array<{RUN}>"
+HITS = f"doc_id long, text_key long, n_words long, items array<string>, runs array<{RUN}>"
 
 
 class Automaton:
@@ -85,20 +84,21 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, window: int = 10, p
     Words are runs of digits, letters and non-ASCII characters, A-Z
     lower-cased.  Every ``window`` consecutive words of an item are looked for,
     the whole item where it is shorter.  Returns for each row of ``docs``:
-    doc_id, n_words, items (ids with an occurrence, sorted) and runs (merged
+    doc_id, text_key (xxhash64 of the text), n_words, items (ids with an
+    occurrence, sorted) and runs (merged
     runs of hit words: words and code points of the original, end exclusive).
 
     Null and empty texts have no words, on either side; an item without words
     never occurs; items that share an id are one; a null item_id counts as the
     empty string.  An empty benchmark hits nothing.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null")
     parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     passes = [_hits(rows, items.where(part == k), window, every=k == 0) for k in range(parts)]
     if parts == 1:
-        return passes[0].select("doc_id", "n_words", "items", "runs")
+        return passes[0]
     hits = passes[0].where("size(items) > 0")
     for other in passes[1:]:
         hits = hits.union(other)
@@ -107,11 +107,11 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, window: int = 10, p
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
     )
-    merged = merged.mapInArrow(_merge, f"doc_id long, text_key binary, items array<string>, runs array<{RUN}>")
+    merged = merged.mapInArrow(_merge, f"doc_id long, text_key long, items array<string>, runs array<{RUN}>")
     named = merged.select(*[F.col(c).alias(f"_{c}") for c in merged.columns])
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key"))
     return passes[0].join(named, same, "left").select(
-        "doc_id", "n_words", F.coalesce("_items", F.expr("cast(array() as array<string>)")).alias("items"),
+        *key, "n_words", F.coalesce("_items", F.expr("cast(array() as array<string>)")).alias("items"),
         F.coalesce("_runs", F.expr(f"cast(array() as array<{RUN}>)")).alias("runs"),
     )
 
@@ -120,7 +120,7 @@ def _hits(rows: DataFrame, items: DataFrame, window: int, every: bool) -> DataFr
     """One pass with one automaton: each row's hits, or only rows that have any."""
     held = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in items.distinct().collect()])
     schema = pa.schema([
-        ("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())),
+        ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())),
         ("runs", pa.list_(pa.struct([(f, pa.int32()) for f in ("word_start", "word_end", "start", "end")]))),
     ])
 
@@ -128,14 +128,13 @@ def _hits(rows: DataFrame, items: DataFrame, window: int, every: bool) -> DataFr
         automaton = Automaton(held.value, window)
         for batch in batches:
             out = []
-            for name, text in zip(batch.column(0), batch.column(1), strict=True):
+            for name, key, text in zip(*batch.columns, strict=True):
                 text = text.as_py()
                 normal = normal_bytes(text)
                 words = normal.split()
                 runs, found = automaton.scan(words)
                 if every or runs:
-                    key = xxhash.xxh128_digest(normal)
-                    out.append((name.as_py(), key, len(words), sorted(found), placed(text, normal, runs) if runs else []))
+                    out.append((name.as_py(), key.as_py(), len(words), sorted(found), placed(text, normal, runs) if runs else []))
             columns = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -90,9 +90,9 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
-def figures(df: DataFrame) -> Callable[[str], Column]:
-    """A metric as a column of ``df`` where it has one of that name, else computed from its text."""
-    return lambda name: F.col(name) if name in df.columns else METRICS[name](F.col("text"))
+def figures(given: tuple[str, ...] = ()) -> Callable[[str], Column]:
+    """A metric as the column of that name where it is given, else computed from the text."""
+    return lambda name: F.col(name) if name in given else METRICS[name](F.col("text"))
 
 
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
@@ -114,7 +114,7 @@ def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
         empty = seconds(F.lit(False))[0]
         measured = []
         for rule in rules:
-            took, share = seconds(rule.rejects(figures(docs)))
+            took, share = seconds(rule.rejects(figures()))
             measured.append((rule, max(took - empty, 1e-3), share))
     finally:
         sample.unpersist()
@@ -122,17 +122,18 @@ def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
 
 
 def quality_cascade(
-    docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, measured_on: DataFrame | None = None
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS,
+    given: tuple[str, ...] = (), measured_on: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``failed`` (the first rule that rejects, null if none) and ``kept``.
 
-    A rule uses the columns of ``docs`` that are named as its figures; costs are
-    those on ``measured_on``, where given.  Rules are tried in the order of ``ordered_rules``; a document that one
+    ``given`` names the figures that ``docs`` has as columns; costs are those on
+    ``measured_on``, where given.  Other columns pass.  Rules are tried in the order of ``ordered_rules``; a document that one
     rejects is spared the rest.  The verdict does not depend on the order,
     ``failed`` does.  A null or empty text has no words and fails; a rule whose
     condition is null does not reject.
     """
-    get = figures(docs)
+    get = figures(given)
     chain = F
     for rule, _, _ in ordered_rules(docs if measured_on is None else measured_on, rules, sample_rows):
         chain = chain.when(F.coalesce(rule.rejects(get), F.lit(False)), rule.name)

@@ -45,7 +45,8 @@ def op8_benchmark_decontamination(spark, sf_dir):
 
 @query
 def op9_line_dedup(spark, sf_dir):
-    return dedup_lines(read(spark, sf_dir, "documents"))
+    shortened = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return shortened.select("doc_id", "n_lines", "n_removed", "text")
 
 
 @query
@@ -57,8 +58,9 @@ def op7_source_mixing(spark, sf_dir):
 @query
 def op1_quality_rules(spark, sf_dir):
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    figures = (*base, "n_lines", "n_capitals")
     texts = read(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = with_figures(texts, [*base, "n_lines", "n_capitals"])
+    docs = with_figures(texts, figures)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    judged = quality_cascade(docs, measured_on=texts)
+    judged = quality_cascade(docs, given=figures, measured_on=texts)
     return judged.select("doc_id", *base, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))

@@ -13,9 +13,11 @@ from commentguard.llm.links import bucket_links, components
 from commentguard.plans.shared import written
 
 BINS, ROWS = 128, 4
-#: Candidates whose sketches agree in a share of bins this far below the threshold are left out:
-#: over four standard deviations of the estimate.
-SLACK = 0.13
+#: Candidates whose sketches agree in a share of bins that is further below the threshold are left out:
+#: that many standard deviations of the estimate, which for a short text has few bins of its own.
+DEVIATIONS = 4
+#: Rows of a table that is sent to all executors; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 SPACE = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
@@ -57,15 +59,15 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """One-permutation signature: the smallest value in each of ``BINS`` bins.
+    """One-permutation signature: 32 bits of the smallest value in each of ``BINS`` bins.
 
     Optimal densification: an empty bin copies the bin that a hash sequence of
     its own number reaches first among the filled ones, the same for all sets.
     """
     bins = (hashes >> np.uint64(57)).astype(np.int64)  # the high 7 bits: 128 bins, in sorted order
     first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
-    out = np.zeros(BINS, np.uint64)
-    out[bins[first]] = hashes[first]
+    out = np.zeros(BINS, np.uint32)
+    out[bins[first]] = (hashes[first] >> np.uint64(25)).astype(np.uint32)  # those below the bin's number
     if len(first) == BINS:
         return out
     filled = np.zeros(BINS, bool)
@@ -86,8 +88,8 @@ def _donors(filled: np.ndarray) -> np.ndarray:
 
 def _bands(signature: np.ndarray) -> list[tuple[int, bytes]]:
     """A bucket and the signature's low bytes, turned to start after the band, for each band."""
-    low = (signature & np.uint64(255)).astype(np.uint8)
-    parts = signature.reshape(-1, ROWS)
+    low = (signature & np.uint32(255)).astype(np.uint8)
+    parts = signature.astype(np.uint64).reshape(-1, ROWS)
     keys = np.arange(len(parts), dtype=np.uint64) + np.uint64(1)
     for k in range(ROWS):
         keys = _mixed(keys * np.uint64(_STEPS[k]) + parts[:, k])
@@ -139,7 +141,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 part = batch.slice(start, 512)
                 keys, nodes, sketches = [], [], []
                 for node, signature in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for key, turned in _bands(np.frombuffer(signature, np.uint64)):
+                    for key, turned in _bands(np.frombuffer(signature, np.uint32)):
                         keys.append(key)
                         nodes.append(node)
                         sketches.append(turned)
@@ -148,10 +150,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                     ["bucket", "node", "sketch"],
                 )
 
-    least = BINS * (percent / 100 - SLACK)
+    share = percent / 100
 
     def close(x: bytes, y: bytes) -> bool:
-        return np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= least
+        alike = np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8))
+        own = min(len(set(x)), len(set(y)))  # bins that densification has not copied, or fewer
+        return alike >= BINS * (share - DEVIATIONS * (share * (1 - share) / own) ** 0.5)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = written(
@@ -159,9 +163,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     worded = described.where("doc_id is not null and text_key is not null")
     classes = written(worded.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.max("signature").alias("signature")), "near-classes")
-    buckets = written(classes.select("node", "signature").mapInArrow(banded, "bucket long, node long, sketch binary"), "near-buckets")
+    buckets = classes.select("node", "signature").mapInArrow(banded, "bucket long, node long, sketch binary")
     pairs = written(bucket_links(buckets, close, partitions), "near-pairs")
-    links = written(_confirmed(rows, worded, pairs, width, percent), "near-links")
+    links = written(_confirmed(rows, pairs, width, percent), "near-links")
     # Copies of a class are linked with the document that stands for it.
     copies = worded.join(classes.select("text_key", "node"), "text_key").where("doc_id <> node")
     groups = written(components(links.union(copies.select("node", "doc_id"))), "near-groups")
@@ -174,10 +178,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
 
-def _confirmed(rows: DataFrame, worded: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets reach the similarity.
 
-    Only texts that a pair names are moved.
+    Only texts that a pair names are moved, to where the first of the pair is.
+    Two rows may share a doc_id; every text of it is compared.
     """
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +199,9 @@ def _confirmed(rows: DataFrame, worded: DataFrame, pairs: DataFrame, width: int,
                 [batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"]
             )
 
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    # Two rows may share a doc_id; every text of it is compared.
-    texts = written(rows.join(F.broadcast(named) if named.count() <= 1_000_000 else named, "doc_id", "left_semi"), "near-texts")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    few = pairs.count() <= BROADCAST_ROWS
+    firsts = pairs.select(F.col("a").alias("doc_id")).distinct()
+    left = rows.join(F.broadcast(firsts) if few else firsts, "doc_id", "left_semi")
+    right = rows.select(F.col("doc_id").alias("b"), F.col("text").alias("y")).join(F.broadcast(pairs) if few else pairs, "b")
+    joined = right.join(left.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
     return joined.mapInArrow(confirm, "a long, b long").distinct()

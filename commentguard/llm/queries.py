@@ -11,6 +11,7 @@ from commentguard.llm.line_dedup import dedup_lines
 from commentguard.llm.mixing import mix_sources
 from commentguard.llm.near_dedup import near_duplicates
 from commentguard.llm.quality_rules import quality_cascade, with_figures
+from commentguard.llm.secrets import joined, secret_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -64,3 +65,13 @@ def op1_quality_rules(spark, sf_dir):
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = quality_cascade(docs, given=figures, measured_on=texts)
     return judged.select("doc_id", *base, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
+
+
+@query
+def op4_secret_scan(spark, sf_dir):
+    spans = secret_spans(read(spark, sf_dir, "documents"))
+    base = F.concat("assign", "access", "hex")
+    return spans.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.concat(base, "entropy")).alias("spans"),
+    )

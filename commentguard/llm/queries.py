@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from commentguard.llm.decontaminate import benchmark_overlap
+from commentguard.llm.languages import fit_languages, predict_languages
 from commentguard.llm.line_dedup import dedup_lines
 from commentguard.llm.mixing import mix_sources
 from commentguard.llm.near_dedup import near_duplicates
@@ -75,3 +76,12 @@ def op4_secret_scan(spark, sf_dir):
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.concat(base, "entropy")).alias("spans"),
     )
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = fit_languages(docs.where(remainder != 0))
+    found = predict_languages(docs, model)
+    return found.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -13,6 +13,7 @@ from commentguard.llm.mixing import mix_sources
 from commentguard.llm.near_dedup import near_duplicates
 from commentguard.llm.quality_rules import quality_cascade, with_figures
 from commentguard.llm.secrets import joined, secret_spans
+from commentguard.llm.toxicity import fit_toxicity, predict_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -85,3 +86,12 @@ def op5_language_id(spark, sf_dir):
     model = fit_languages(docs.where(remainder != 0))
     found = predict_languages(docs, model)
     return found.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    judged = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = fit_toxicity(docs, judged, ["low_quality", "toxic"])
+    found = predict_toxicity(docs, chain)
+    return found.select("doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"))

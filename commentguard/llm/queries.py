@@ -11,6 +11,7 @@ from commentguard.llm.languages import fit_languages, predict_languages
 from commentguard.llm.line_dedup import dedup_lines
 from commentguard.llm.mixing import mix_sources
 from commentguard.llm.near_dedup import near_duplicates
+from commentguard.llm.pages import extract_pages
 from commentguard.llm.quality_rules import quality_cascade, with_figures
 from commentguard.llm.secrets import joined, secret_spans
 from commentguard.llm.toxicity import fit_toxicity, predict_toxicity
@@ -95,3 +96,8 @@ def op6_toxicity(spark, sf_dir):
     chain = fit_toxicity(docs, judged, ["low_quality", "toxic"])
     found = predict_toxicity(docs, chain)
     return found.select("doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
+
+
+@query
+def op2_html_extraction(spark, sf_dir):
+    return extract_pages(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

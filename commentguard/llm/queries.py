@@ -14,6 +14,7 @@ from commentguard.llm.near_dedup import near_duplicates
 from commentguard.llm.pages import extract_pages
 from commentguard.llm.quality_rules import quality_cascade, with_figures
 from commentguard.llm.secrets import joined, secret_spans
+from commentguard.llm.token_counts import count_tokens, unigram_scores
 from commentguard.llm.toxicity import fit_toxicity, predict_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,12 @@ def op6_toxicity(spark, sf_dir):
 @query
 def op2_html_extraction(spark, sf_dir):
     return extract_pages(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: Place of the public vocabulary that tokens are counted by.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op3_token_counts(spark, sf_dir, vocabulary=VOCABULARY):
+    return count_tokens(read(spark, sf_dir, "documents"), unigram_scores(vocabulary))

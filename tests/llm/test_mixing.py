@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from commentguard.llm.mixing import mix_sources, sainte_lague
 
-WEIGHT = 1 + (F.col("place") - 1) % 3
+WEIGHT = "1 + (place - 1) % 3"
 
 
 def targets(sizes):
@@ -57,7 +57,7 @@ def test_targets_bounds_and_repeatability(spark):
     for _, text, source in docs:
         sizes[source] += size(text)
     want = targets(sizes)
-    rows = mix_sources(frame, WEIGHT).collect()
+    rows = mix_sources(frame, F.expr(WEIGHT)).collect()
     assert sorted((str(r.doc_id), r["size"], str(r.source)) for r in rows) == sorted((str(d), size(t), str(s)) for d, t, s in docs)
     taken = Counter()
     for r in rows:
@@ -66,10 +66,10 @@ def test_targets_bounds_and_repeatability(spark):
         taken[r.source] += r.taken
     for source, target in want.items():
         assert abs(taken[source] - target) <= max(0.02 * target, 5 * sum(sizes.values()) / 7000)
-    again = mix_sources(frame.repartition(5), WEIGHT).collect()
+    again = mix_sources(frame.repartition(5), F.expr(WEIGHT)).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
 def test_nothing_to_mix(spark):
     frame = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
-    assert [(r.taken, r.target) for r in mix_sources(frame, WEIGHT).collect()] == [(0, 0.0)] * 2
+    assert [(r.taken, r.target) for r in mix_sources(frame, F.expr(WEIGHT)).collect()] == [(0, 0.0)] * 2

@@ -86,16 +86,29 @@ def _donors(filled: np.ndarray) -> np.ndarray:
     return donors
 
 
-def _bands(signature: np.ndarray) -> list[tuple[int, bytes]]:
-    """A bucket and the signature's low bytes, turned to start after the band, for each band."""
-    low = (signature & np.uint32(255)).astype(np.uint8)
-    parts = signature.astype(np.uint64).reshape(-1, ROWS)
-    keys = np.arange(len(parts), dtype=np.uint64) + np.uint64(1)
+def _band_keys(signatures: np.ndarray) -> np.ndarray:
+    """The bucket of every band, for each row of signatures."""
+    parts = signatures.astype(np.uint64).reshape(len(signatures), -1, ROWS)
+    keys = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64) + np.uint64(1), parts.shape[:2]).copy()
     for k in range(ROWS):
-        keys = _mixed(keys * np.uint64(_STEPS[k]) + parts[:, k])
+        keys = _mixed(keys * np.uint64(_STEPS[k]) + parts[:, :, k])
+    return keys.view(np.int64)
+
+
+def _turned(signature: np.ndarray) -> list[bytes]:
+    """The signature's low bytes, turned to start after the band, for each band."""
+    low = (signature & np.uint32(255)).astype(np.uint8)
     twice = np.r_[low, low].tobytes()
-    starts = range(ROWS, BINS + 1, ROWS)
-    return [(k, twice[s : s + BINS]) for k, s in zip(keys.view(np.int64).tolist(), starts, strict=True)]
+    return [twice[s : s + BINS] for s in range(ROWS, BINS + 1, ROWS)]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BINS)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A hint to broadcast, if the rows are counted to be few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -135,19 +148,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 ["doc_id", "n_shingles", "text_key", "signature"],
             )
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _band_keys(_matrix(batch.column(1)))
+            nodes = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], ["bucket", "node"])
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                keys, nodes, sketches = [], [], []
-                for node, signature in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for key, turned in _bands(np.frombuffer(signature, np.uint32)):
-                        keys.append(key)
-                        nodes.append(node)
-                        sketches.append(turned)
+                matrix = _matrix(part.column(1))
+                keys = _band_keys(matrix)
+                nodes = np.repeat(part.column(0).to_numpy(), keys.shape[1])
+                sketches = [x for row in matrix for x in _turned(row)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())],
-                    ["bucket", "node", "sketch"],
+                    [pa.array(keys.ravel()), pa.array(nodes), pa.array(sketches, pa.binary())], ["bucket", "node", "sketch"]
                 )
 
     share = percent / 100
@@ -162,8 +178,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         rows.mapInArrow(describe, "doc_id long, n_shingles long, text_key binary, signature binary"), "near-described"
     )
     worded = described.where("doc_id is not null and text_key is not null")
-    classes = written(worded.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.max("signature").alias("signature")), "near-classes")
-    buckets = classes.select("node", "signature").mapInArrow(banded, "bucket long, node long, sketch binary")
+    classes = written(worded.groupBy("text_key").agg(F.min("doc_id").alias("node")), "near-classes")
+    own = _small(classes).select(F.col("text_key").alias("_key"), "node")
+    signatures = worded.join(own, (F.col("text_key") == F.col("_key")) & (F.col("doc_id") == F.col("node")))
+    signatures = written(signatures.select("node", "signature"), "near-signatures")
+    # Most buckets hold one class: only those with more are given sketches and sorted.
+    keys = signatures.mapInArrow(buckets_of, "bucket long, node long")
+    shared = keys.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
+    shared = _small(written(shared.select("bucket"), "near-shared"))
+    nodes = _small(written(keys.join(shared, "bucket", "left_semi").select("node").distinct(), "near-nodes"))
+    buckets = signatures.join(nodes, "node", "left_semi").mapInArrow(sketched, "bucket long, node long, sketch binary")
+    buckets = buckets.join(shared, "bucket", "left_semi")
     pairs = written(bucket_links(buckets, close, partitions), "near-pairs")
     links = written(_confirmed(rows, pairs, width, percent), "near-links")
     # Copies of a class are linked with the document that stands for it.
@@ -199,9 +224,8 @@ def _confirmed(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
                 [batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"]
             )
 
-    few = pairs.count() <= BROADCAST_ROWS
     firsts = pairs.select(F.col("a").alias("doc_id")).distinct()
-    left = rows.join(F.broadcast(firsts) if few else firsts, "doc_id", "left_semi")
-    right = rows.select(F.col("doc_id").alias("b"), F.col("text").alias("y")).join(F.broadcast(pairs) if few else pairs, "b")
+    left = rows.join(_small(firsts), "doc_id", "left_semi")
+    right = rows.select(F.col("doc_id").alias("b"), F.col("text").alias("y")).join(_small(pairs), "b")
     joined = right.join(left.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
     return joined.mapInArrow(confirm, "a long, b long").distinct()

@@ -30,9 +30,11 @@ def _comments_of(root) -> list[tuple[str, int, int]]:
 def flatten_threads(df: DataFrame, json_column: str = "thread", key: str = "thread_id") -> DataFrame:
     """(key, position, depth, body, score) of every comment in nested threads.
 
-    A thread is one JSON document, of any depth, so the walk needs a stack; a
-    small Arrow-batched helper does it next to the data.  Comment nodes and
-    listing roots are both accepted; documents that do not parse give no rows.
+    A thread is one JSON document, so the walk needs a stack; a small
+    Arrow-batched helper does it next to the data.  Comment nodes and listing
+    roots are both accepted; documents that do not parse give no rows.  One that
+    is nested too deeply to parse (over a thousand levels) gives a single row of
+    nulls beside its key, so that it is not lost unseen.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,10 +45,14 @@ def flatten_threads(df: DataFrame, json_column: str = "thread", key: str = "thre
                     root = json.loads(text)
                 except (TypeError, ValueError):
                     continue
+                except RecursionError:
+                    rows.append((thread_id, None, None, None, None))
+                    continue
                 roots = root if isinstance(root, list) else [root]
                 comments = [c for r in roots for c in _comments_of(r)]
                 rows += [(thread_id, i, c[2], c[0], c[1]) for i, c in enumerate(comments)]
-            yield pd.DataFrame(rows, columns=[key, "position", "depth", "body", "score"])
+            out = pd.DataFrame(rows, columns=[key, "position", "depth", "body", "score"])
+            yield out.astype({n: "Int64" for n in ("position", "depth", "score")})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, json_column).mapInPandas(

@@ -4,13 +4,18 @@ A single word matches when it is a token.  A phrase of several words matches
 when its first word is a token and the phrase occurs anywhere in the text, so
 it has no right boundary: "your kind" also hits "your kindness".
 
-Two forms give the same signals:
+Two forms give the same signals, and a list that a lexicon lacks is empty in both:
 
 * the expression form turns a lexicon of bounded size into literals; it needs
-  no shuffle and no state, and is what batch and stream moderation use;
-* the join form keeps the lexicon a table, for lexicons beyond that bound.
+  no Python and is what batch and stream moderation use;
+* the scan form searches each text once with an automaton of all phrases, for
+  lexicons beyond that bound.  Neither shuffles or needs a key.
 """
 
+import uuid
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from commentguard import fixed_values as fv
@@ -23,9 +28,12 @@ TOKEN_LISTS = ["movie", "user", "community"]
 LOOSE_LISTS = ["hate_word", "fan_word"]
 SIGNAL_LISTS = MATCHER_LISTS + TOKEN_LISTS + LOOSE_LISTS
 
-# Up to this many phrases a lexicon is turned into literals or broadcast.
+TONE_LISTS = ["positive", "negative"]
+
+# Up to this many phrases a lexicon is turned into literals.
 MAX_LITERAL_PHRASES = 5_000
-MAX_BROADCAST_PHRASES = 1_000_000
+# Phrases of one automaton; a larger lexicon is searched with several.
+PART_PHRASES = 200_000
 
 
 def build_lexicon(spark: SparkSession, lists: dict[str, list[str]] | None = None) -> DataFrame:
@@ -123,11 +131,11 @@ def signal_columns(
 ) -> dict[str, Column]:
     signals = {"has_mention": F.array_contains(hits, fv.MENTION_TOKEN)}
     for name in MATCHER_LISTS:
-        signals[name] = contains(hits, normalized, lists[name])
+        signals[name] = contains(hits, normalized, lists.get(name, []))
     for name in TOKEN_LISTS:
-        signals[name] = has_token(hits, lists[name])
+        signals[name] = has_token(hits, lists.get(name, []))
     for name in LOOSE_LISTS:
-        signals[name] = contains_any(hits, normalized, lists[name])
+        signals[name] = contains_any(hits, normalized, lists.get(name, []))
     return signals
 
 
@@ -136,6 +144,7 @@ def with_signals(df: DataFrame, lists: dict[str, list[str]] | None = None) -> Da
     lists = fv.LEXICON if lists is None else lists
     out = df.withColumn("_hits", hit_tokens("tokens", lists))
     signals = signal_columns("_hits", "normalized_text", lists)
+    signals["has_mention"] = F.array_contains("tokens", fv.MENTION_TOKEN)  # whatever the lists have
     return out.withColumns({f"sig_{n}": c for n, c in signals.items()}).drop("_hits")
 
 
@@ -143,12 +152,12 @@ def v1_signal_columns(normalized: str, lists: dict[str, list[str]]) -> dict[str,
     """The first policy version: plain substring tests, tokens for two lists only."""
     tokens = f"split({normalized}, ' ')"
     signals = {
-        name: F.expr(_any_within(normalized, lists[name]))
+        name: F.expr(_any_within(normalized, lists.get(name, [])))
         for name in MATCHER_LISTS + LOOSE_LISTS + ["community"]
     }
     signals["has_mention"] = F.contains(F.col(normalized), F.lit("@user"))
-    signals["user"] = has_token(tokens, ["@user", *lists["user"]])
-    signals["movie"] = has_token(tokens, lists["movie"])
+    signals["user"] = has_token(tokens, ["@user", *lists.get("user", [])])
+    signals["movie"] = has_token(tokens, lists.get("movie", []))
     return signals
 
 
@@ -161,7 +170,7 @@ def matched_phrases(
         f"struct({_quoted(name)} AS list, {_quoted(p)} AS phrase, "
         f"{_quoted(p.split(' ', 1)[0])} AS first, {str(' ' in p).lower()} AS is_phrase)"
         for name in MATCHER_LISTS
-        for p in lists[name]
+        for p in lists.get(name, [])
     )
     pairs = F.expr(
         f"transform(filter(array({entries}), e -> array_contains(_hits, e.first) "
@@ -176,60 +185,102 @@ def matched_phrases(
     )
 
 
-# --- Join form ---------------------------------------------------------------
+# --- Scan form ---------------------------------------------------------------
+
+# How a list matches: a word as a token and a phrase behind its first word; words
+# only; a phrase anywhere; or any term anywhere, inside words too.
+_FIRST, _WORDS, _LOOSE, _ANYWHERE = range(4)
+_RULES = {
+    **dict.fromkeys(MATCHER_LISTS, _FIRST), **dict.fromkeys(TOKEN_LISTS, _WORDS),
+    **dict.fromkeys(LOOSE_LISTS, _LOOSE), **dict.fromkeys(TONE_LISTS, _ANYWHERE),
+}
+_RULES_V1 = {**dict.fromkeys(MATCHER_LISTS + LOOSE_LISTS + TONE_LISTS + ["community"], _ANYWHERE), "user": _WORDS, "movie": _WORDS}
+_BETWEEN = "\x00"
+_AUTOMATA: dict = {}
+
+
+class _Scanner:
+    def __init__(self, entries: list[tuple[str, str]], rules: dict[str, int]):
+        self.words: dict[str, list[str]] = {}
+        self.always: list[str] = []
+        inside: dict[str, list[tuple[str | None, str]]] = {}
+        for name, phrase in entries:
+            rule, label = rules.get(name, _FIRST), f"{name}{_BETWEEN}{phrase}"
+            if rule != _ANYWHERE and " " not in phrase:
+                self.words.setdefault(phrase, []).append(label)
+            elif phrase == "":
+                self.always.append(label)
+            elif rule != _WORDS:
+                inside.setdefault(phrase, []).append((phrase.split(" ", 1)[0] if rule == _FIRST else None, label))
+        self.tree = ahocorasick.Automaton()
+        for phrase, labels in inside.items():
+            self.tree.add_word(phrase, labels)
+        if inside:
+            self.tree.make_automaton()
+        self.any_inside = bool(inside)
+
+    def scan(self, tokens, text) -> list[str] | None:
+        if tokens is None or text is None:
+            return None
+        own = set(tokens)
+        found = [label for t in own if t in self.words for label in self.words[t]] + self.always
+        if self.any_inside:
+            for labels in {id(x): x for _, x in self.tree.iter(text)}.values():
+                found += [label for first, label in labels if first is None or first in own]
+        return found
+
+
+def lexicon_matches(lexicon: DataFrame, tokens: Column, normalized: Column, rules: dict[str, int]) -> Column:
+    """The entries of a lexicon table that match, as "list NUL phrase", each as often as the table has it.
+
+    A list that ``rules`` does not name matches as the matcher lists do.
+    """
+    spark = lexicon.sparkSession
+    entries = lexicon.select("list", "phrase").dropna()
+    parts = max(1, -(-entries.count() // PART_PHRASES))
+
+    def part(number: int) -> Column:
+        of_part = entries.where(F.pmod(F.xxhash64("list", "phrase"), F.lit(parts)) == number)
+        held = spark.sparkContext.broadcast([tuple(r) for r in of_part.collect()])
+        key = uuid.uuid4().hex  # of the automaton, which a Python worker keeps
+
+        @F.pandas_udf("array<string>")
+        def scan(tokens: pd.Series, text: pd.Series) -> pd.Series:
+            if key not in _AUTOMATA:
+                if len(_AUTOMATA) >= 4:
+                    _AUTOMATA.clear()
+                _AUTOMATA[key] = _Scanner(held.value, rules)
+            scanner = _AUTOMATA[key]
+            return pd.Series([scanner.scan(a, b) for a, b in zip(tokens, text, strict=True)], dtype=object)
+
+        return scan(tokens, normalized)
+
+    return F.concat(*[part(k) for k in range(parts)]) if parts > 1 else part(0)
+
+
+def of_list(matches: Column, name: str) -> Column:
+    return F.filter(matches, lambda m: F.startswith(m, F.lit(f"{name}{_BETWEEN}")))
 
 
 def match_lexicon(df: DataFrame, lexicon: DataFrame, key: str = "comment_id") -> DataFrame:
-    """(key, list, phrase) for every match; ``df`` is normalised.
+    """(key, list, phrase) for every match of an entry, by the rule of the matcher lists.
 
-    Only the distinct tokens travel to the lexicon; the text stays behind and
-    is joined back for the rows that have a candidate phrase of several words.
-    A lexicon of up to ``MAX_BROADCAST_PHRASES`` is broadcast; a larger one is
-    shuffled, with the tokens salted, since a few words open most phrases.
+    ``df`` is normalised.  It is read once and stays where it is.
     """
-    lexicon = with_index(lexicon) if "first" not in lexicon.columns else lexicon
-    exploded = df.select(key, F.explode(F.array_distinct("tokens")).alias("first"))
-    small = lexicon.limit(MAX_BROADCAST_PHRASES + 1).count() <= MAX_BROADCAST_PHRASES
-    if small:
-        candidates = exploded.join(F.broadcast(lexicon), "first")
+    matches = lexicon_matches(lexicon.select("list", "phrase").distinct(), F.col("tokens"), F.col("normalized_text"), dict.fromkeys(_RULES, _FIRST))
+    found = df.select(key, F.explode(matches).alias("_m"))
+    cut = F.split("_m", _BETWEEN)
+    return found.select(key, F.get(cut, 0).alias("list"), F.get(cut, 1).alias("phrase"))
+
+
+def scanned_signals(df: DataFrame, lexicon: DataFrame, v1: bool = False) -> DataFrame:
+    """Add ``sig_*`` and ``_matches`` to a normalised frame, as ``with_signals`` and ``v1_signal_columns`` do."""
+    tokens = F.split("normalized_text", " ") if v1 else F.col("tokens")
+    df = df.withColumn("_matches", lexicon_matches(lexicon, tokens, F.col("normalized_text"), _RULES_V1 if v1 else _RULES))
+    signals = {n: F.size(of_list(F.col("_matches"), n)) > 0 for n in SIGNAL_LISTS}
+    if v1:
+        signals["has_mention"] = F.contains(F.col("normalized_text"), F.lit("@user"))
+        signals["user"] = signals["user"] | F.array_contains(tokens, "@user")
     else:
-        salts = 16
-        salted = exploded.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-        copies = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
-        candidates = salted.join(copies, ["first", "_salt"]).drop("_salt")
-    candidates = candidates.select(key, "list", "phrase", "is_phrase")
-    words = candidates.filter(~F.col("is_phrase")).select(key, "list", "phrase")
-    phrases = candidates.filter("is_phrase").groupBy(key).agg(
-        F.collect_set(F.struct("list", "phrase")).alias("_phrases")
-    )
-    in_text = (
-        df.select(key, "normalized_text")
-        .join(phrases, key)
-        .select(
-            key,
-            F.explode(
-                F.filter(
-                    "_phrases",
-                    lambda e: F.contains(F.col("normalized_text"), e["phrase"]),
-                )
-            ).alias("_m"),
-        )
-        .select(key, "_m.list", "_m.phrase")
-    )
-    return words.unionByName(in_text)
-
-
-def join_signals(
-    df: DataFrame, lexicon: DataFrame, key: str = "comment_id",
-    lists: list[str] = MATCHER_LISTS,
-) -> DataFrame:
-    """The matcher signals by the join form; only rows with a hit are shuffled
-    before the final left join."""
-    wanted = match_lexicon(df, lexicon.filter(F.col("list").isin(lists)), key)
-    per_row = wanted.groupBy(key).agg(
-        *[F.bool_or(F.col("list") == name).alias(f"sig_{name}") for name in lists]
-    )
-    joined = df.join(per_row, key, "left")
-    return joined.withColumns(
-        {f"sig_{n}": F.coalesce(F.col(f"sig_{n}"), F.lit(False)) for n in lists}
-    )
+        signals["has_mention"] = F.array_contains(tokens, fv.MENTION_TOKEN)
+    return df.withColumns({f"sig_{n}": c for n, c in signals.items()})

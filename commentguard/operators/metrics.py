@@ -1,9 +1,10 @@
 """Operational metrics of a moderation service, over its decision log."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from commentguard import fixed_values as fv
 from commentguard.functions import text as tx
+from commentguard.plans.shared import written
 
 
 def decision_counts(decided: DataFrame) -> DataFrame:
@@ -34,31 +35,71 @@ def latency_histogram(df: DataFrame, seconds: str = "latency_s") -> DataFrame:
     return counted.select(F.inline(rows))
 
 
-def ops_summary(df: DataFrame, seconds: str = "latency_s", exact: bool = False) -> DataFrame:
+def exact_percentiles(df: DataFrame, column: str, points: list[float]) -> DataFrame:
+    """One row of the interpolated percentiles q0, q1, ... of a numeric column.
+
+    Values are counted, the counts of value ranges give each range's first rank,
+    and only the two values around each wanted rank are brought together, so no
+    task holds all values.
+    """
+    counts = written(df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n")), "counts")
+    cuts = sorted(set(counts.approxQuantile("v", [i / 64 for i in range(1, 64)], 0.01)))
+    stretch = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("v"))) if cuts else F.lit(0)
+    counts = counts.withColumn("stretch", stretch)
+    sums = counts.groupBy("stretch").agg(F.sum("n").alias("m"))  # at most 64 rows
+    in_order = Window.partitionBy(F.lit(1)).orderBy("stretch")
+    firsts = sums.select(
+        "stretch", (F.sum("m").over(in_order) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy(F.lit(1))).alias("total")
+    )
+    inside = Window.partitionBy("stretch").orderBy("v")
+    ranks = counts.join(F.broadcast(firsts), "stretch").withColumn("last", F.col("before") + F.sum("n").over(inside) - 1)
+    ranks = ranks.withColumn("first", F.col("last") - F.col("n") + 1)
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("v")))
+
+    wanted, shares = [], []
+    for i, p in enumerate(points):
+        place = (F.col("total") - 1) * F.lit(p)
+        wanted += [value_at(F.floor(place)).alias(f"lo{i}"), value_at(F.ceil(place)).alias(f"hi{i}"), F.max(place - F.floor(place)).alias(f"w{i}")]
+        shares.append((F.col(f"lo{i}") * (1 - F.col(f"w{i}")) + F.col(f"hi{i}") * F.col(f"w{i}")).alias(f"q{i}"))
+    return ranks.agg(*wanted).select(*shares)
+
+
+def _beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two tables of one row each as one row."""
+    return one.withColumn("_row", F.lit(1)).join(other.withColumn("_row", F.lit(1)), "_row").drop("_row")
+
+
+def ops_summary(df: DataFrame, seconds: str = "latency_s", exact: bool = False, cache: DataFrame | None = None) -> DataFrame:
     """Latency percentiles, action shares and the rate of given model scores.
 
     The percentiles come from a mergeable sketch of fixed size unless ``exact``
-    is asked for, which keeps every distinct latency in one place.
+    is asked for.  ``cache`` is the table of ``cache_hit_rate``; with it, the
+    summary has ``cache_hit_rate`` too.
     """
     points = [0.5, 0.95, 0.99]
-    quantiles = (
-        F.percentile(seconds, F.array(*[F.lit(p) for p in points]))
-        if exact
-        else F.percentile_approx(seconds, points, 10_000)
-    )
 
     def share(test: Column, name: str) -> Column:
         return F.avg(test.cast("double")).alias(name)
 
-    return df.agg(
+    counted = df.agg(
         F.count("*").alias("n_requests"),
-        quantiles.alias("_q"),
+        *([] if exact else [F.percentile_approx(seconds, points, 10_000).alias("_q")]),
         *[share(F.col("predicted_action") == a, f"{a}_rate") for a in fv.ACTIONS],
         share(F.col("model_called"), "model_call_rate"),
-    ).select(
-        "n_requests",
-        *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(["p50", "p95", "p99"])],
-        *[f"{a}_rate" for a in fv.ACTIONS], "model_call_rate",
+    )
+    quantiles = [F.get("_q", F.lit(i)) for i in range(3)]
+    if exact:
+        counted = _beside(counted, exact_percentiles(df, seconds, points))
+        quantiles = [F.col(f"q{i}") for i in range(3)]
+    extra = []
+    if cache is not None:
+        counted = _beside(counted, cache_summary(cache).select(F.col("hit_rate").alias("cache_hit_rate")))
+        extra = ["cache_hit_rate"]
+    return counted.select(
+        "n_requests", *[q.alias(n) for q, n in zip(quantiles, ["p50", "p95", "p99"], strict=True)],
+        *[f"{a}_rate" for a in fv.ACTIONS], "model_call_rate", *extra,
     )
 
 
@@ -68,29 +109,39 @@ def cache_hit_rate(
     """Hits and misses per cache key (text and context) with a time to live that
     counts from the write.
 
-    Whether a request hits depends on the last miss of its key, so each key is
-    folded over time.  Times count in whole seconds and equal ones combine
-    before the shuffle: the fold of a key is as long as the span of time it
-    covers, however many requests fall into it.
+    Whether a request hits depends on the last miss of its key, so a key is
+    followed over time.  Times count in whole seconds and equal ones combine
+    before the shuffle.  A gap as long as the time to live forgets all before
+    it, so each key is cut there; inside a stretch there is at most one write in
+    each span of the time to live, so its seconds are first gathered by span and
+    the fold goes over spans, each of which holds at most ``ttl_seconds`` values.
     """
     per_second = df.groupBy(
         tx.cache_key("text", "context_type").alias("cache_key"),
         F.unix_timestamp(F.col(ts)).alias("second"),
     ).agg(F.count("*").alias("n"))
+    by_time = Window.partitionBy("cache_key").orderBy("second")
+    gap = F.col("second") - F.lag("second").over(by_time)
+    fresh = (gap.isNull() | (gap >= ttl_seconds)).cast("int")
+    cut = per_second.withColumn("_fresh", fresh).withColumn("stretch", F.sum("_fresh").over(by_time))
+    span = F.floor(F.col("second") / max(ttl_seconds, 1))
+    spans = cut.groupBy("cache_key", "stretch", span.alias("span")).agg(
+        F.sum("n").alias("n"), F.sort_array(F.collect_list("second")).alias("seconds")
+    )
+    # In a span at most one write happens: at the first second from the time when the last one has run out.
     start = F.struct(F.lit(None).cast("long").alias("written"), F.lit(0).cast("long").alias("misses"))
 
-    def visit(state: Column, at: Column) -> Column:
-        expired = state["written"].isNull() | (at >= state["written"] + ttl_seconds)
-        return F.struct(
-            F.when(expired, at).otherwise(state["written"]).alias("written"),
-            (state["misses"] + expired.cast("long")).alias("misses"),
-        )
+    def visit(state: Column, s: Column) -> Column:
+        due = F.filter(s["seconds"], lambda at: state["written"].isNull() | (at >= state["written"] + ttl_seconds))
+        at = F.get(due, F.lit(0))
+        return F.struct(F.coalesce(at, state["written"]).alias("written"), (state["misses"] + at.isNotNull().cast("long")).alias("misses"))
 
-    folded = per_second.groupBy("cache_key").agg(
+    folded = spans.groupBy("cache_key", "stretch").agg(
         F.sum("n").alias("requests"),
-        F.aggregate(F.sort_array(F.collect_list("second")), start, visit)["misses"].alias("misses"),
+        F.aggregate(F.sort_array(F.collect_list(F.struct("span", "seconds"))), start, visit)["misses"].alias("misses"),
     )
-    return folded.select("cache_key", "requests", "misses", (F.col("requests") - F.col("misses")).alias("hits"))
+    per_key = folded.groupBy("cache_key").agg(F.sum("requests").alias("requests"), F.sum("misses").alias("misses"))
+    return per_key.select("cache_key", "requests", "misses", (F.col("requests") - F.col("misses")).alias("hits"))
 
 
 def cache_summary(per_key: DataFrame) -> DataFrame:

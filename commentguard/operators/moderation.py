@@ -10,8 +10,12 @@ from commentguard.operators import lexicon as lx
 from commentguard.operators.normalize import with_normalized
 from commentguard.operators.ranks import SALTS, salted_join
 from commentguard.operators.retrieval import apply_rule_override, with_nearest_rules
+from commentguard.plans.shared import written
 from commentguard.schemas import DECISION_FIELDS, REQUEST_FIELDS
 
+# Distinct requests whose decisions are sent to all executors; more are joined by a shuffle.
+MAX_BROADCAST_REQUESTS = 200_000
+
 _FAILURE = {
     "predicted_action": "flag_for_review",
     "predicted_category": "pipeline_error",
@@ -97,48 +101,34 @@ def resolve_weights(weights: dict | DataFrame | None, profile: str) -> dict[str,
 
 def with_heuristics(
     df: DataFrame, lexicon: DataFrame | dict | None = None, profile: str = "current",
-    key: str = "comment_id", transliterator=None,
 ) -> DataFrame:
     """Normalise, match the lexicon, and add ``sig_*``, ``_target``, ``_htox``,
     ``_balance`` and the normalised text.  Needs ``text`` and ``context_type``."""
     if lexicon is None and profile == "v1":
         lexicon = fv.LEXICON_V1
     lists = lx.literal_lists(lexicon)
-    if profile == "v1":
-        df = df.withColumn("normalized_text", tx.normalize_text_v1("text"))
-        signals = lx.v1_signal_columns("normalized_text", lists)
-        df = df.withColumns({f"sig_{n}": c for n, c in signals.items()})
+    df = df.withColumn("normalized_text", tx.normalize_text_v1("text")) if profile == "v1" else with_normalized(df)
+    if lists is None:
+        df = lx.scanned_signals(df, lexicon, v1=profile == "v1")
+        balance = F.size(lx.of_list(F.col("_matches"), "negative")) - F.size(lx.of_list(F.col("_matches"), "positive"))
     else:
-        df = with_normalized(df)
-        if lists is not None:
-            df = lx.with_signals(df, lists)
+        if profile == "v1":
+            df = df.withColumns({f"sig_{n}": c for n, c in lx.v1_signal_columns("normalized_text", lists).items()})
         else:
-            df, lists = _signals_of_large_lexicon(df, lexicon, key)
+            df = lx.with_signals(df, lists)
+        balance = sentiment_balance("normalized_text", lists)
     sig = signal_map()
     target = dc.detect_target_v1 if profile == "v1" else dc.detect_target
     return df.withColumns({
         "_target": target(sig, F.col("context_type")),
         "_htox_raw": dc.toxicity_points(sig),
-        "_balance": sentiment_balance("normalized_text", lists),
+        "_balance": balance,
     }).withColumn("_htox", round_nearest(F.col("_htox_raw"), 3))
 
 
 def sentiment_balance(normalized: str, lists: dict[str, list[str]] = fv.LEXICON) -> Column:
     """Negative minus positive terms in the text."""
-    return lx.occurring(normalized, lists["negative"]) - lx.occurring(normalized, lists["positive"])
-
-
-def _signals_of_large_lexicon(df: DataFrame, lexicon: DataFrame, key: str):
-    tone = lx.literal_lists(lexicon.filter(F.col("list").isin("positive", "negative")))
-    if tone is None:
-        raise ValueError("the positive and negative lists are too long for substring tests")
-    df = lx.join_signals(df, lexicon, key, lx.MATCHER_LISTS + lx.TOKEN_LISTS)
-    df = df.withColumns({
-        "sig_has_mention": F.array_contains("tokens", fv.MENTION_TOKEN),
-        "sig_hate_word": lx.contains_any("tokens", "normalized_text", fv.HATE_WORDS),
-        "sig_fan_word": lx.contains_any("tokens", "normalized_text", fv.FAN_WORDS),
-    })
-    return df, {"positive": [], "negative": [], **tone}
+    return lx.occurring(normalized, lists.get("negative", [])) - lx.occurring(normalized, lists.get("positive", []))
 
 
 def signal_map() -> dict[str, Column]:
@@ -154,10 +144,10 @@ def moderate(
     sentiment: tuple[str, str] | None = None,
     max_distance: float = 1.1,
     embedding: str = "embedding",
-    key: str = "comment_id",
     keep_signals: bool = False,
+    fields: list[str] | None = None,
 ) -> DataFrame:
-    """Add the thirteen decision columns to a frame of comments.
+    """Add the thirteen decision columns, or the given ``fields`` of them, to a frame of comments.
 
     Missing request fields take their defaults; ``model_toxicity_score`` is
     replaced by the effective score.  ``sentiment`` names a (label, score) pair
@@ -191,7 +181,7 @@ def moderate(
             .when(F.col("_perf").isNull() | F.col("_skip").isNull(), F.lit("context"))
         )
     df = df.withColumn("_failed", failed)
-    df = with_heuristics(df, lexicon, profile, key)
+    df = with_heuristics(df, lexicon, profile)
 
     sig = signal_map()
     label, score = (
@@ -224,7 +214,7 @@ def moderate(
     if rules is not None:
         clean = dc.is_clean(sig, F.col("_decision.action"), F.col("_risk"), F.col("_model"))
         df = with_nearest_rules(
-            df, rules, 1, max_distance, embedding, key, "_rules", F.col("_failed").isNull() & ~clean
+            df, rules, 1, max_distance, embedding, "_rules", F.col("_failed").isNull() & ~clean
         )
         top = F.get(F.col("_rules"), F.lit(0))
         df = df.withColumn("_decision", apply_rule_override(F.col("_decision"), top, F.col("_model")))
@@ -257,7 +247,7 @@ def moderate(
     # optimiser: a filter or join on a result would otherwise make it unfold the
     # expressions of all projections below into one, which takes longer than
     # the data takes, and evaluate them twice.
-    df = df.withColumn("_results", F.struct(*[results[n].alias(n) for n in DECISION_FIELDS]))
+    df = df.withColumn("_results", F.struct(*[results[n].alias(n) for n in fields or DECISION_FIELDS]))
     return df.select(*kept, F.inline(F.array("_results")))
 
 
@@ -275,19 +265,21 @@ def with_failure_values(results: dict[str, Column], failed: Column) -> dict[str,
 def moderate_distinct(df: DataFrame, salts: int = SALTS, **options) -> DataFrame:
     """Moderate every distinct request once and join the decisions back.
 
-    Worth it when requests repeat more than ``salts`` times on average.  The key
-    is a hash of all six request fields.  Equal requests combine before the
-    shuffle, and the decisions meet their copies in a salted join, so a request
-    that makes up much of the input does not land in one task.
+    Worth it when requests repeat often and moderation costs more than a hash
+    of the request, as with a model.  The key is a hash of all six request
+    fields; equal requests combine before the shuffle.  Decisions are counted:
+    few ones are sent to where the requests are, which then stay in place; many
+    meet them in a salted join, so a request that makes up much of the input
+    does not land in one task.
     """
     df = with_default_fields(df)
-    keyed = df.withColumn(
-        "_request",
-        F.sha2(F.to_json(F.struct(*REQUEST_FIELDS), {"ignoreNullFields": "false"}), 256),
-    )
+    request = F.sha2(F.to_json(F.struct(*REQUEST_FIELDS), {"ignoreNullFields": "false"}), 256)
+    keyed = df.withColumn("_request", request)
     requests = keyed.groupBy("_request").agg(*[F.first(c).alias(c) for c in REQUEST_FIELDS])
-    decided = moderate(requests, key="_request", **options).select("_request", *DECISION_FIELDS)
+    decided = written(moderate(requests, **options).select("_request", *DECISION_FIELDS), "decided")
     own = keyed.drop("model_toxicity_score")
+    if decided.count() <= MAX_BROADCAST_REQUESTS:
+        return own.join(F.broadcast(decided), "_request").drop("_request")
     spread_by = [c for c in df.columns if c not in REQUEST_FIELDS] or ["_request"]
     return salted_join(own, decided, "_request", spread_by, salts=salts).drop("_request")
 

@@ -30,10 +30,15 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def duplicate_texts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Texts that occur more than once.  Equal texts combine before the shuffle."""
-    return (
-        df.groupBy(F.col(text).alias("duplicate_text")).agg(F.count("*").alias("count")).filter("count > 1")
-    )
+    """Texts that occur more than once, NULL among them.
+
+    Only hashes are shuffled; the texts are fetched for those that repeat, one
+    of each.
+    """
+    digest = F.sha2(F.coalesce(F.concat(F.lit("t"), F.col(text)), F.lit("")), 256)
+    repeated = df.groupBy(digest.alias("_h")).agg(F.count("*").alias("count")).filter("count > 1")
+    texts = df.select(digest.alias("_h"), F.col(text).alias("duplicate_text")).join(repeated, "_h")
+    return texts.groupBy("_h", "count").agg(F.max("duplicate_text").alias("duplicate_text")).select("duplicate_text", "count")
 
 
 def duplicate_count(df: DataFrame, text: str = "text") -> DataFrame:

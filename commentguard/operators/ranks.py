@@ -1,5 +1,7 @@
 """Ranks and joins that hold up when one group has a large share of all rows."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 16
@@ -39,9 +41,12 @@ def ranked(df: DataFrame, group: list[str], order: list, bucket: Column) -> Data
         F.sum("_n").over(by_group).alias("_group_size"),
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
+    named = shifts.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)], "_before", "_group_size")
+    same = [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate(keys)]  # a NULL group is one too
     return (
         cut.withColumn("_inside", F.row_number().over(inside))
-        .join(shifts, keys)
+        .join(named, reduce(Column.__and__, same))
+        .drop(*[f"_of{i}" for i in range(len(keys))])
         .withColumn("_rank", F.col("_before") + F.col("_inside"))
         .drop("_bucket", "_inside", "_before")
     )

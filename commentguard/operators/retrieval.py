@@ -4,9 +4,9 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-MAX_LITERAL_RULES = 1_000
+# Rules of one literal.  Policy rules are written by people; a table of any size
+# becomes several literals, whose winners are merged in the same projection.
 RULES_PER_BLOCK = 500
-SALTS = 64
 
 _RULE_LITERAL = T.ArrayType(T.StructType([
     T.StructField("id", T.StringType()),
@@ -33,16 +33,14 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
 
 
-def literal_rules(rules: DataFrame) -> Column | None:
-    """The rule table as one array literal, or None when it is too large."""
+def literal_rules(rules: DataFrame) -> list[Column]:
+    """The rule table as array literals of at most ``RULES_PER_BLOCK`` rules each."""
     wanted = rules.select(
         "id", "action", "category", "severity", F.col("embedding").cast("array<double>").alias("embedding")
     )
-    rows = wanted.limit(MAX_LITERAL_RULES + 1).collect()
-    if len(rows) > MAX_LITERAL_RULES:
-        return None
-    text = json.dumps([row.asDict() for row in sorted(rows, key=lambda r: r["id"])])
-    return F.from_json(F.lit(text), _RULE_LITERAL)
+    rows = sorted((row.asDict() for row in wanted.toLocalIterator()), key=lambda r: r["id"])
+    starts = range(0, len(rows), RULES_PER_BLOCK)
+    return [F.from_json(F.lit(json.dumps(rows[k : k + RULES_PER_BLOCK])), _RULE_LITERAL) for k in starts]
 
 
 def _nearest(embedding: Column, rules: Column, k: int) -> Column:
@@ -62,7 +60,7 @@ def _nearest(embedding: Column, rules: Column, k: int) -> Column:
 
 def with_nearest_rules(
     df: DataFrame, rules: DataFrame, k: int = 5, max_distance: float = 1.2,
-    embedding: str = "embedding", key: str = "comment_id", out: str = "rules",
+    embedding: str = "embedding", out: str = "rules",
     only_if: Column | None = None,
 ) -> DataFrame:
     """Add the array of the nearest rules within ``max_distance``, nearest first.
@@ -74,12 +72,11 @@ def with_nearest_rules(
     test = F.col(embedding).isNotNull()
     if only_if is not None:
         test = test & only_if
-    literal = literal_rules(rules)
-    if literal is not None:
-        found = F.when(test & (F.size(literal) > 0), _nearest(F.col(embedding), literal, k))
-        out_df = df.withColumn("_nearest", found)
-    else:
-        out_df = _nearest_by_blocks(df, rules, k, embedding, key, test)
+    blocks = [_nearest(F.col(embedding), block, k) for block in literal_rules(rules)]
+    best = F.lit(None)
+    if blocks:
+        best = blocks[0] if len(blocks) == 1 else F.slice(F.array_sort(F.concat(*blocks)), 1, k)
+    out_df = df.withColumn("_nearest", F.when(test, best))
     within = F.filter("_nearest", lambda r: r["distance"] <= max_distance)
     none = F.from_json(
         F.lit("[]"), "array<struct<distance double, id string, action string, category string, severity string>>"
@@ -87,45 +84,12 @@ def with_nearest_rules(
     return out_df.withColumn(out, F.coalesce(within, none)).drop("_nearest")
 
 
-def _nearest_by_blocks(
-    df: DataFrame, rules: DataFrame, k: int, embedding: str, key: str, test: Column
-) -> DataFrame:
-    """Exact search over a rule table of any size: every query meets every block
-    of rules once, keeps k per block, and the blocks' winners are merged."""
-    blocks = max(1, -(-rules.count() // RULES_PER_BLOCK))
-    blocked = (
-        rules.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        .groupBy("_block")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    "id", "action", "category", "severity",
-                    F.col("embedding").cast("array<double>").alias("embedding"),
-                )
-            ).alias("_rules")
-        )
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    )
-    queries = df.filter(test).select(
-        key, F.col(embedding).alias("_query"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("_block"),
-        F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("_salt"),
-    )
-    best = (
-        queries.join(blocked, ["_block", "_salt"])
-        .select(key, _nearest(F.col("_query"), F.col("_rules"), k).alias("_best"))
-        .groupBy(key)
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, k).alias("_nearest"))
-    )
-    return df.join(best, key, "left")
-
-
 def retrieve_rules(
     queries: DataFrame, rules: DataFrame, k: int = 5, max_distance: float = 1.2,
     embedding: str = "embedding", key: str = "comment_id",
 ) -> DataFrame:
     """(key, rank, rule_id, distance) rows of the nearest rules."""
-    found = with_nearest_rules(queries, rules, k, max_distance, embedding, key, "_found")
+    found = with_nearest_rules(queries, rules, k, max_distance, embedding, "_found")
     return found.select(key, F.posexplode("_found").alias("_pos", "_rule")).select(
         key, (F.col("_pos") + 1).alias("rank"), F.col("_rule.id").alias("rule_id"),
         F.col("_rule.distance").alias("distance"),

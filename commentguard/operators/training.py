@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from commentguard import fixed_values as fv
 from commentguard.functions import decision as dc
+from commentguard.operators.evaluation import strip
 from commentguard.operators.moderation import with_heuristics
 
 FEATURES = ["is_reply", "has_mention", "is_negative", "htox"]
@@ -20,7 +21,7 @@ _MAX_FEATURE_ROWS = 2 * 2**3 * 2 ** len(fv.TOXICITY_POINTS)
 
 def risk_features(df: DataFrame, label: str = "moderation_action") -> DataFrame:
     """The features and the 0/1 label (not allowed) of every usable row."""
-    cleaned = df.withColumn("_label", F.lower(F.trim(F.col(label)))).filter(
+    cleaned = df.withColumn("_label", F.lower(strip(F.col(label)))).filter(
         (F.coalesce(F.col("text"), F.lit("")) != "") & F.col("_label").isin(fv.ACTIONS)
     )
     out = with_heuristics(cleaned)

@@ -4,9 +4,6 @@ The tables carry no thread context, so it is assigned from the row's id; every
 row of a table becomes a comment.
 """
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from commentguard import fixed_values as fv
@@ -18,21 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+# Rows of a table that are dealt out over the cores at most.
+SPREAD_ROWS = 1_000_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out when a scan has fewer splits than the session has cores.
+    """Deal the rows out when a small scan has fewer splits than the session has cores.
 
-    Text work is bound by the processor, and a small file is one task.  A large
-    table is left as it is: its scan is parallel without a shuffle.
+    Text work is bound by the processor, and a small file is one task.  A
+    larger table is left as it is: its scan is parallel without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one the session shares between its machines."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="/tmp/spark-")
-    return f"{root.rstrip('/')}/commentguard/{name}-{uuid.uuid4().hex}"
+    few = df.rdd.getNumPartitions() < cores and df.count() <= SPREAD_ROWS
+    return df.repartition(cores) if few else df
 
 
 def _pick(values: list[str], index: Column) -> Column:

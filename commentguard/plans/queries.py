@@ -12,6 +12,7 @@ from commentguard.operators import (
 )
 from commentguard.operators.normalize import with_normalized
 from commentguard.plans import inputs as inp
+from commentguard.plans.shared import shared_path
 from commentguard.sources import tables as tb
 from commentguard.streaming import live
 
@@ -34,7 +35,7 @@ def _flat_decisions(decided: DataFrame, *keys: str) -> DataFrame:
 
 def _decided_events(spark: SparkSession, sf: str) -> DataFrame:
     """Event comments repeat a text often, so each distinct request is scored once."""
-    return mod.moderate_distinct(inp.event_comments(spark, sf))
+    return mod.moderate(inp.event_comments(spark, sf))
 
 
 def _decided_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -639,6 +640,12 @@ def a19_cache_hits(spark, sf):
     return mt.cache_hit_rate(inp.event_comments(spark, sf))
 
 
+@query
+def a19_cache_hits_week(spark, sf):
+    """As a19_cache_hits, with a time to live that the sparse tables have hits for."""
+    return mt.cache_hit_rate(inp.event_comments(spark, sf), ttl_seconds=7 * 86_400)
+
+
 @query
 def a19_cache_summary(spark, sf):
     out = mt.cache_summary(mt.cache_hit_rate(inp.event_comments(spark, sf)))
@@ -654,7 +661,7 @@ def _training_rows(spark, sf):
     """Labelled documents, and the events with the action their v1 decision gave."""
     fields = ["src", "comment_id", "text", "context_type", "moderation_action"]
     docs = inp.labelled_documents(spark, sf).withColumn("src", F.lit("doc")).select(*fields)
-    events = mod.moderate_distinct(inp.event_comments(spark, sf), profile="v1")
+    events = mod.moderate(inp.event_comments(spark, sf), profile="v1")
     events = events.withColumns({"src": F.lit("event"), "moderation_action": F.col("predicted_action")}).select(*fields)
     return docs.unionByName(events)
 
@@ -739,7 +746,7 @@ def r05_head_sample(spark, sf):
 
 @query
 def s01_read_examples_csv(spark, sf):
-    path = inp.scratch(spark, "examples-csv")
+    path = shared_path(spark, "examples-csv")
     rows = inp.document_comments(spark, sf).select(
         F.col("comment_id").cast("string").alias("example_id"), "text", "context_type", F.lit("").alias("source_url")
     )
@@ -749,14 +756,14 @@ def s01_read_examples_csv(spark, sf):
 
 @query
 def s02_examples_parquet(spark, sf):
-    path = inp.scratch(spark, "examples-parquet")
+    path = shared_path(spark, "examples-parquet")
     tb.write_examples(ds.as_example_rows(_examples(spark, sf)), path)
     return tb.read_examples(spark, path, "parquet").select("scenario_id", "text", "labels_multi", "moderation_action")
 
 
 @query
 def s03_write_examples_csv(spark, sf):
-    path = inp.scratch(spark, "examples-swap")
+    path = shared_path(spark, "examples-swap")
     rows = ds.as_example_rows(_examples(spark, sf))
     tb.write_examples_csv(rows.filter(F.col("moderation_action") != "allow"), path)
     tb.write_examples_csv(rows, path)
@@ -766,7 +773,7 @@ def s03_write_examples_csv(spark, sf):
 @query
 def s04_policy_rules(spark, sf):
     """The rules by the decisions that fall into their category."""
-    path = inp.scratch(spark, "rules")
+    path = shared_path(spark, "rules")
     tb.write_policy_rules(tb.policy_rules(spark), path)
     rules = tb.read_policy_rules(spark, path)
     decided = _decided_events(spark, sf).groupBy("predicted_category").agg(F.count("*").alias("n"))
@@ -778,7 +785,7 @@ def s04_policy_rules(spark, sf):
 
 @query
 def s05_lexicon_usage(spark, sf):
-    path = inp.scratch(spark, "lexicon")
+    path = shared_path(spark, "lexicon")
     lx.build_lexicon(spark).select("list", F.upper("phrase").alias("phrase")).write.option("header", True).csv(path)
     lexicon = tb.read_lexicon(spark, path)
     matches = lx.match_lexicon(_text_frame(spark, sf), lexicon)
@@ -790,7 +797,7 @@ def s05_lexicon_usage(spark, sf):
 @query
 def s06_weights(spark, sf):
     """Decisions under weights read from a table that leaves some keys out."""
-    path = inp.scratch(spark, "weights")
+    path = shared_path(spark, "weights")
     spark.range(1).select(F.lit(0.4).alias("reply_context_base"), F.lit(0.58).alias("flag_for_review_risk")).write.json(path)
     decided = mod.moderate(inp.event_comments(spark, sf), weights=tb.read_weights(spark, path))
     return decided.select("comment_id", "predicted_action", "risk_score")
@@ -798,7 +805,7 @@ def s06_weights(spark, sf):
 
 @query
 def s07_audit(spark, sf):
-    path = inp.scratch(spark, "audit")
+    path = shared_path(spark, "audit")
     decided = _decided_documents(spark, sf).withColumns({
         "ts": F.timestamp_seconds(F.col("comment_id") * 3600), "request_id": F.col("comment_id").cast("string"),
         "latency_ms": F.col("comment_id") / 7,
@@ -812,7 +819,7 @@ def s07_audit(spark, sf):
 
 @query
 def s08_feedback(spark, sf):
-    path = inp.scratch(spark, "feedback")
+    path = shared_path(spark, "feedback")
     labels = inp.raw_labelled_documents(spark, sf)
     feedback = labels.select(
         F.timestamp_seconds("comment_id").alias("timestamp"), tx.text_hash("text").alias("text_hash"),
@@ -827,7 +834,7 @@ def s08_feedback(spark, sf):
 
 @query
 def s09_export_csv(spark, sf):
-    path = inp.scratch(spark, "export")
+    path = shared_path(spark, "export")
     feed = mod.moderate(mod.with_default_context(inp.table(spark, sf, "conversations")))
     named = feed.withColumns({"source": F.concat_ws("-", "conv_id", "turn"), "score": F.length("text")})
     tb.export_moderation_csv(named, path)
@@ -874,7 +881,7 @@ def s12_pii_scan(spark, sf):
 def s14_build_rule_index(spark, sf):
     vectors = inp.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
     rules = inp.rule_sources(spark, sf).drop("embedding").join(vectors, "id")
-    path = inp.scratch(spark, "rule-index")
+    path = shared_path(spark, "rule-index")
     tb.write_rule_index(rt.build_rule_index(rules), path)
     return spark.read.parquet(path).select(
         "id", "document", "action", "category", "severity", F.size("embedding").cast("long").alias("n_dims"),
@@ -886,7 +893,7 @@ def s14_build_rule_index(spark, sf):
 
 
 def _run_to_parquet(spark, stream: DataFrame, name: str) -> DataFrame:
-    path = inp.scratch(spark, name)
+    path = shared_path(spark, name)
     running = (
         stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint")
         .trigger(availableNow=True).start(path)
@@ -903,7 +910,7 @@ def x01_moderate_stream(spark, sf):
 
 @query
 def x02_route_batches(spark, sf):
-    root = inp.scratch(spark, "routed")
+    root = shared_path(spark, "routed")
     live.start_routing(inp.event_stream(spark, sf), root, f"{root}-checkpoint", availableNow=True).awaitTermination()
     counts = [
         spark.read.parquet(f"{root}/{name}").groupBy(F.col(column).alias("action")).agg(F.count("*").alias("n"))
@@ -915,7 +922,17 @@ def x02_route_batches(spark, sf):
 
 @query
 def x03_dedupe_stream(spark, sf):
-    first = live.dedupe_stream(inp.event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")))
+    return _deduped(spark, sf, fv.CACHE_TTL_SECONDS)
+
+
+@query
+def x03_dedupe_stream_week(spark, sf):
+    return _deduped(spark, sf, 7 * 86_400)
+
+
+def _deduped(spark, sf, ttl_seconds):
+    events = inp.event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    first = live.dedupe_stream(events, ttl_seconds=ttl_seconds)
     return _run_to_parquet(spark, first, "deduped").select("cache_key", "comment_id")
 
 
@@ -944,7 +961,7 @@ def x05_rate_limit_report(spark, sf):
 def x06_stream_feedback_join(spark, sf):
     """Decisions on clicks and feedback from error events on the same text, within a week."""
     events = inp.event_comments(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    decisions = mod.moderate_distinct(events.filter("event_type = 'click'")).select(
+    decisions = mod.moderate(events.filter("event_type = 'click'")).select(
         "comment_id", "ts", tx.text_hash("text").alias("text_hash"), "predicted_action"
     )
     feedback = events.filter("event_type = 'error'").select(

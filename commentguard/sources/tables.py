@@ -40,7 +40,11 @@ def write_examples(df: DataFrame, path: str) -> None:
 
 
 def write_examples_csv(df: DataFrame, path: str) -> None:
-    """Write CSV so that readers see the old files or the new ones, not a mix."""
+    """Write CSV so that readers see the old files or the new ones, not a mix.
+
+    The new files are complete before they take the place of the old, which are
+    put back if that fails; in between a reader may find no path for a moment.
+    """
     session = df.sparkSession
     mark = uuid.uuid4().hex
     fresh, old = f"{path}.tmp-{mark}", f"{path}.old-{mark}"
@@ -50,6 +54,8 @@ def write_examples_csv(df: DataFrame, path: str) -> None:
     fs = target.getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
     replaced = fs.exists(target) and fs.rename(target, jvm.org.apache.hadoop.fs.Path(old))
     if not fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target):
+        if replaced:
+            fs.rename(jvm.org.apache.hadoop.fs.Path(old), target)
         raise OSError(f"could not move {fresh} to {path}")
     if replaced:
         fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)

@@ -615,6 +615,14 @@ m(k, s) AS (SELECT k, min(s) FROM e GROUP BY k
   UNION ALL SELECT m.k, min(e.s) FROM m JOIN e ON e.k = m.k AND e.s >= m.s + {fv.CACHE_TTL_SECONDS} GROUP BY m.k),
 c AS (SELECT k, count(*) AS misses FROM m GROUP BY k), r AS (SELECT k, count(*) AS requests FROM e GROUP BY k)"""
 ORACLES["a19_cache_hits"] = f"{_CACHE}\nSELECT k AS cache_key, requests, misses, requests - misses AS hits FROM c JOIN r USING (k)"
+_WEEK = _CACHE.replace(str(fv.CACHE_TTL_SECONDS), str(7 * 86_400))
+ORACLES["a19_cache_hits_week"] = f"{_WEEK}\nSELECT k AS cache_key, requests, misses, requests - misses AS hits FROM c JOIN r USING (k)"
+# The rows that a cache would miss: of the second of each write, the event with the smallest id.
+for _name, _misses in (("x03_dedupe_stream", _CACHE), ("x03_dedupe_stream_week", _WEEK)):
+    ORACLES[_name] = f"""{_misses}
+SELECT m.k AS cache_key, min(t.comment_id) AS comment_id FROM m
+JOIN (SELECT sha256(text || ':' || context_type) AS k, CAST(floor(epoch(ts)) AS BIGINT) AS s, comment_id FROM ({EVENTS})) t ON t.k = m.k AND t.s = m.s
+GROUP BY m.k, m.s"""
 ORACLES["a19_cache_summary"] = f"""{_CACHE}
 SELECT CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(misses) AS BIGINT) AS misses, CAST(sum(requests - misses) AS BIGINT) AS hits,
   round(sum(requests - misses) / sum(requests)::DOUBLE, 9) AS hit_rate FROM c JOIN r USING (k)"""

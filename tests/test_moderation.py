@@ -70,22 +70,36 @@ def test_failure_rows(spark):
     assert got[5].model_toxicity_score == 0.0
 
 
-def test_both_matching_forms_agree(spark):
-    df = with_normalized(sample_frame(spark))
-    names = [f"sig_{n}" for n in lx.MATCHER_LISTS]
-    by_expression = lx.with_signals(df).select("comment_id", *names)
-    by_join = lx.join_signals(df, lx.build_lexicon(spark)).select("comment_id", *names)
-    assert sorted(by_expression.collect()) == sorted(by_join.collect())
-
-
-def test_large_lexicon_takes_the_join_form(spark, monkeypatch):
+def custom_lexicon(spark):
+    """Lists of one's own, the loose and tone lists among them, and several that are missing."""
+    lists = {"severe": ["zzbad", "you suck"], "hate_word": ["kplu", "all of them out"], "fan_word": ["starfan"], "positive": ["lov"], "user": ["fool"]}
+    return lx.build_lexicon(spark, lists)
+
+
+@pytest.mark.parametrize("profile", ["current", "v1"])
+@pytest.mark.parametrize("custom", [False, True])
+def test_both_forms_decide_alike(spark, monkeypatch, profile, custom):
+    extra = [(900, "All of them out, kplu!"), (901, "starfan fool zzbad"), (902, "lovely movie, you sucker"), (902, None), (None, "call of them out")]
+    extra = spark.createDataFrame(extra, "comment_id long, text string")
+    df = sample_frame(spark).unionByName(extra, allowMissingColumns=True)
+    df = df.withColumn("context_type", F.coalesce("context_type", F.lit("main_review")))
+    if custom:
+        lexicon = custom_lexicon(spark)
+    else:
+        lexicon = lx.build_lexicon(spark, fv.LEXICON_V1 if profile == "v1" else None)
+    expected = sorted(moderate(df, lexicon=lexicon, profile=profile).collect(), key=str)
+    monkeypatch.setattr(lx, "MAX_LITERAL_PHRASES", 0)
+    for phrases in (200_000, 3 if custom else 150):
+        monkeypatch.setattr(lx, "PART_PHRASES", phrases)
+        assert sorted(moderate(df, lexicon=lexicon, profile=profile).collect(), key=str) == expected
+
+
+def test_only_asked_fields_are_built(spark):
     df = sample_frame(spark)
-    expected = sorted(moderate(df).collect())
-    lexicon = lx.build_lexicon(spark)
-    monkeypatch.setattr(lx, "MAX_LITERAL_PHRASES", 300)
-    assert sorted(moderate(df, lexicon=lexicon).collect()) == expected
-    monkeypatch.setattr(lx, "MAX_BROADCAST_PHRASES", 10)
-    assert sorted(moderate(df, lexicon=lexicon).collect()) == expected
+    one = moderate(df, fields=["predicted_action"])
+    assert "reason_codes" not in one.columns and "PROTECTED_CLASS_ABUSE_PATTERN" not in one._jdf.queryExecution().optimizedPlan().toString()
+    whole = {(r.comment_id, r.predicted_action) for r in moderate(df).collect()}
+    assert {(r.comment_id, r.predicted_action) for r in one.collect()} == whole
 
 
 def test_matched_phrases(spark):

@@ -85,7 +85,6 @@ def test_rule_retrieval_forms_agree(spark, monkeypatch):
         ranked = sorted((sum((a - b) ** 2 for a, b in zip(q.embedding, r.embedding)), r.id) for r in table)[:3] if q.embedding else []
         truth += [(q.comment_id, i + 1, r) for i, (d, r) in enumerate(ranked) if d <= 0.5]
     assert [(r.comment_id, r["rank"], r.rule_id) for r in by_literal] == sorted(truth)
-    monkeypatch.setattr(rt, "MAX_LITERAL_RULES", 10)
     monkeypatch.setattr(rt, "RULES_PER_BLOCK", 7)
     assert sorted(rt.retrieve_rules(queries, rules, 3, 0.5).collect()) == by_literal
 
@@ -188,3 +187,46 @@ def test_feedback_takes_the_latest(spark):
     out = fb.feedback_disagreement(audit, feedback)
     assert sorted(out.collect()) == [("flag_for_removal", "flag_for_removal", 1), ("flag_for_review", "flag_for_removal", 1)]
     assert fb.override_rate(out).first().override_rate == 0.5
+
+
+def test_ranks_keep_null_groups(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "g string, v long")
+    out = shuffled_ranks(df, ["g"], "v").collect()
+    assert sorted((str(r.g), r["_rank"], r["_group_size"]) for r in out) == [("None", 1, 2), ("None", 2, 2), ("a", 1, 1)]
+
+
+def test_labels_are_stripped_of_all_white_space(spark):
+    df = sample_frame(spark).limit(2).withColumn("moderation_action", F.lit("\tallow\n"))
+    assert tr.risk_features(df).count() == 2
+
+
+def test_a_thread_too_deep_is_reported(spark):
+    deep = '{"kind": "t1", "data": {"body": "x", "replies": ' * 100_000 + '""' + '}}' * 100_000
+    df = spark.createDataFrame([(1, deep), (2, '{"kind": "t1", "data": {"body": "fine"}}')], "thread_id long, thread string")
+    got = {r.thread_id: r.body for r in feeds.flatten_threads(df).collect()}
+    assert got == {1: None, 2: "fine"}
+
+
+def test_percentiles_and_cache_follow_their_definitions(spark):
+    rng = random.Random(9)
+    values = [rng.choice([0.1, 0.2, 3.5, rng.random()]) for _ in range(999)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = mt.exact_percentiles(df, "v", [0.5, 0.95, 0.99, 0.0, 1.0]).first()
+    want = df.select(F.percentile("v", F.array(*[F.lit(p) for p in (0.5, 0.95, 0.99, 0.0, 1.0)]))).first()[0]
+    assert all(abs(a - b) < 1e-12 for a, b in zip(got, want))
+    times = sorted(rng.randrange(5000) for _ in range(400))
+    log = spark.createDataFrame([(t, "x", "c") for t in times], "s long, text string, context_type string").withColumn("ts", F.timestamp_seconds("s"))
+    for ttl in (1, 7, 60, 900):
+        written, misses = None, 0
+        for t in times:
+            if written is None or t >= written + ttl:
+                written, misses = t, misses + 1
+        row = mt.cache_hit_rate(log, ttl_seconds=ttl).first()
+        assert (row.requests, row.misses, row.hits) == (400, misses, 400 - misses)
+
+
+def test_duplicate_texts(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,), (None,), ("",), ("b",)], "text string")
+    from commentguard.operators.quality import duplicate_texts
+
+    assert sorted((str(r.duplicate_text), r["count"]) for r in duplicate_texts(df).collect()) == [("None", 2), ("a", 2)]

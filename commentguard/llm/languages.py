@@ -103,11 +103,8 @@ def mixtures(texts: list[str], model: LanguageModel) -> list[list[tuple[str, flo
     for _ in range(ROUNDS):
         weighed = likely * shares[group]
         weighed /= weighed.sum(axis=1, keepdims=True)
-        moved = np.add.reduceat(weighed, heads, axis=0) / sizes[:, None]
-        done = np.abs(moved - shares).max() < 1e-3
-        shares = moved
-        if done:
-            break
+        # Always as many rounds: when to stop must not hang on the other texts of a batch.
+        shares = np.add.reduceat(weighed, heads, axis=0) / sizes[:, None]
     order = np.argsort(-shares, axis=1, kind="stable")
     best, chosen, size = np.full(len(docs), -np.inf), shares.copy(), np.zeros(len(docs), int)
     for j in range(1, min(MAX_SET, len(model.languages)) + 1):

@@ -169,12 +169,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], samp
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id")
     sample = sample.select("text", place.alias("place"), *categories)
     schema = ", ".join(["slots array<long>", "place long", *[f"{c} int" for c in categories]])
-    rows = sorted(sample.mapInArrow(features, schema).toArrow().to_pylist(), key=lambda r: (r["place"], *[r[c] for c in categories]))
-    labels = np.array([[r[c] for c in categories] for r in rows], np.int64).reshape(-1, len(categories))
+    found = sample.mapInArrow(features, schema).toArrow().sort_by([(c, "ascending") for c in ("place", *categories)]).combine_chunks()
+    labels = np.column_stack([found.column(c).to_numpy() for c in categories]).reshape(-1, len(categories))
+    lists = found.column("slots").combine_chunks()
+    ends = lists.offsets.to_numpy()
+    rows = np.split(lists.values.to_numpy(), ends[1:-1]) if len(labels) else []
     if not rows:
         zero = lambda k: Linear(np.zeros(SLOTS), np.zeros(k), 0.0)
         return Chain(categories, [zero(k) for k in range(len(categories))], [1.0] * len(categories))
-    return fit_chain([np.array(r["slots"], np.int64) for r in rows], labels, categories)
+    return fit_chain(rows, labels, categories)
 
 
 class WordWeights(dict):

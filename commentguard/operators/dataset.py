@@ -1,10 +1,11 @@
 """Labelled examples: derived fields, label mapping, sampling, splits and ids."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from commentguard import fixed_values as fv
 from commentguard.functions import text as tx
 from commentguard.operators.ranks import ordered_ranks, shuffled_ranks
+from commentguard.plans.shared import written
 from commentguard.schemas import EXAMPLE_FIELDS
 
 
@@ -151,23 +152,53 @@ def assign_ids(df: DataFrame, order: str, prefix: str = "example_") -> DataFrame
     )
 
 
+# Texts whose hashes are sent to all executors; more are joined by a shuffle.
+MAX_BROADCAST_TEXTS = 500_000
+# What a number moves on by when its text is taken.
+NEXT_NUMBER = 1_000_003
+
+
 def uniquify_text(df: DataFrame, order: str) -> DataFrame:
     """Make repeated texts distinct: the k-th copy gets a sentence and a number.
 
     Where the longer text would pass the cap, the original gives way, so that
-    the number always stays.
+    the number always stays.  A text that another row has already, as given or
+    by such a cut, moves on to another number until none is left.  Only texts
+    that repeat are ranked.  Null texts stay null.
     """
-    ranks = ordered_ranks(df.withColumn("_h", F.sha2("text", 256)), ["_h"], order)
-    copy = (F.col("_rank") - 1).cast("long")
+    hashed = df.withColumn("_h", F.sha2("text", 256))
+    repeated = hashed.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1 and _h is not null").select("_h", F.lit(True).alias("_again"))
+    repeated = written(repeated, "repeated-texts")
+    if repeated.count() <= MAX_BROADCAST_TEXTS:
+        repeated = F.broadcast(repeated)
+    marked = hashed.join(repeated, "_h", "left")
+    once = marked.where("_again is null").withColumn("_copy", F.lit(0).cast("long"))
+    several = written(marked.where("_again"), "copies")
+    ranks = ordered_ranks(several, ["_h"], order).withColumn("_copy", F.col("_rank") - 1).drop("_rank", "_group_size")
+    rows = once.unionByName(ranks.withColumn("_copy", F.col("_copy").cast("long")))
+    rows = rows.drop("_again", "_h").withColumns({"_original": F.col("text"), "_moved": F.lit(0).cast("long")})
+    rows = written(rows.withColumn("text", _numbered()), "unique-texts")
+    while True:
+        digest = F.sha2("text", 256)
+        taken = rows.groupBy(digest.alias("_d")).agg(F.count("*").alias("_n")).where("_n > 1 and _d is not null").select("_d", F.lit(True).alias("_taken"))
+        if taken.isEmpty():
+            return rows.select(*df.columns)
+        turn = F.row_number().over(Window.partitionBy("_d").orderBy(F.col("_copy") > 0, "_copy", order)) - 1
+        hit = rows.withColumn("_d", digest).join(taken, "_d", "left")
+        stay = hit.where("_taken is null").drop("_d", "_taken")
+        move = hit.where("_taken").withColumn("_moved", F.col("_moved") + turn * NEXT_NUMBER).drop("_d", "_taken")
+        rows = written(stay.unionByName(move.withColumn("text", _numbered())), "unique-texts")
+
+
+def _numbered() -> Column:
+    copy, number = F.col("_copy"), 2 * F.col("_copy") + F.col("_moved")
     suffixes = F.array(*[F.lit(s) for s in fv.UNIQUE_SUFFIXES])
     suffix = F.concat(
         F.lit(" "), F.get(suffixes, F.pmod(2 * copy - 1, F.lit(len(fv.UNIQUE_SUFFIXES))).cast("int")),
-        F.lit(" Case "), (2 * copy).cast("string"), F.lit("."),
+        F.lit(" Case "), number.cast("string"), F.lit("."),
     )
-    kept = F.substring(F.col("text"), F.lit(1), (F.lit(fv.TEXT_CAP) - F.length(suffix)).cast("int"))
-    return ranks.withColumn(
-        "text", F.when(copy == 0, F.col("text")).otherwise(F.concat(kept, suffix))
-    ).drop("_h", "_rank", "_group_size")
+    kept = F.substring(F.col("_original"), F.lit(1), (F.lit(fv.TEXT_CAP) - F.length(suffix)).cast("int"))
+    return F.when(copy == 0, F.col("_original")).otherwise(F.concat(kept, suffix))
 
 
 def keyword_label(text: Column, keywords: list[str], flagged: str, allowed: str = "allow") -> Column:

@@ -64,12 +64,14 @@ def shuffled_ranks(
     return ranked(df, group, ["_digest", key], F.substring("_digest", 1, prefix)).drop("_digest")
 
 
-def ordered_ranks(df: DataFrame, group: list[str], order: str, buckets: int = 64) -> DataFrame:
+def ordered_ranks(df: DataFrame, group: list[str], order: str, buckets: int | None = None) -> DataFrame:
     """Ranks along a numeric column, cut at its approximate quantiles.
 
     One pass over that single column gives the cuts; only those reach the driver.
+    There are as many as shuffle partitions, 64 at least.
     """
-    cuts = df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.002)
+    buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.1 / buckets)
     cuts = sorted(set(cuts))
     listed = ", ".join(f"{c!r}D" for c in cuts) or "double('NaN')"
     bucket = F.expr(f"size(filter(array({listed}), c -> c <= double({order})))")

@@ -1,9 +1,15 @@
 """Intermediate tables in the folder that all machines of a session share."""
 
+import atexit
+import shutil
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN = f"run-{uuid.uuid4().hex}"
+_ROOTS: set[str] = set()
+
 
 def shared_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session, or its warehouse where that is unset."""
@@ -14,8 +20,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/commentguard/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of this process."""
+    root = shared_root(spark)
+    _ROOTS.add(root)
+    return f"{root}/commentguard/{_RUN}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -26,3 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove() -> None:
+    """Remove this process's tables where the shared folder is a mounted one."""
+    for root in _ROOTS:
+        if urlsplit(root).scheme in ("", "file"):
+            shutil.rmtree(f"{urlsplit(root).path}/commentguard/{_RUN}", ignore_errors=True)

@@ -230,3 +230,16 @@ def test_duplicate_texts(spark):
     from commentguard.operators.quality import duplicate_texts
 
     assert sorted((str(r.duplicate_text), r["count"]) for r in duplicate_texts(df).collect()) == [("None", 2), ("a", 2)]
+
+
+def test_unique_texts_stay_unique_beside_taken_ones(spark):
+    suffix = fv.UNIQUE_SUFFIXES
+    long = "y" * fv.TEXT_CAP
+    given = ["a", "a", "a", None, None, long + "1", long + "1", long + "2", long + "2"]
+    first = ds.uniquify_text(spark.createDataFrame(list(enumerate(given[:3])), "i long, text string"), "i")
+    taken = [r.text for r in first.collect() if r.text != "a"]
+    rows = list(enumerate([*given, *taken, *suffix]))
+    out = ds.uniquify_text(spark.createDataFrame(rows, "i long, text string"), "i").collect()
+    texts = [r.text for r in out if r.text is not None]
+    assert len(out) == len(rows) and len(set(texts)) == len(texts) == len(rows) - 2
+    assert sorted(r.i for r in out) == list(range(len(rows)))

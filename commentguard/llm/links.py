@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from commentguard.plans.shared import written
+from commentguard.plans.shared import discard, written
 
 PAIRS = "a long, b long"
 
@@ -64,9 +64,11 @@ def components(links: DataFrame) -> DataFrame:
         least = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "links-least")
         larger = both.join(least, "a").where("b > a and b <> m").select(F.col("m").alias("a"), "b")
         larger = written(larger.distinct(), "links-large")
+        discard(least)
         least = written(larger.groupBy("b").agg(F.min("a").alias("m")), "links-least")
         smaller = larger.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         moved, now = _marked(smaller.union(least.select(F.col("m").alias("a"), "b")).distinct())
+        discard(stars, larger, least)
         stars, done, mark = moved, now == mark, now
         if done:
             break

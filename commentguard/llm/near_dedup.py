@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from commentguard.llm.links import bucket_links, components
-from commentguard.plans.shared import written
+from commentguard.plans.shared import discard, written
 
 BINS, ROWS = 128, 4
 #: Candidates whose sketches agree in a share of bins that is further below the threshold are left out:
@@ -185,15 +185,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # Most buckets hold one class: only those with more are given sketches and sorted.
     keys = signatures.mapInArrow(buckets_of, "bucket long, node long")
     shared = keys.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    shared = _small(written(shared.select("bucket"), "near-shared"))
-    nodes = _small(written(keys.join(shared, "bucket", "left_semi").select("node").distinct(), "near-nodes"))
-    buckets = signatures.join(nodes, "node", "left_semi").mapInArrow(sketched, "bucket long, node long, sketch binary")
-    buckets = buckets.join(shared, "bucket", "left_semi")
+    shared = written(shared.select("bucket"), "near-shared")
+    nodes = written(keys.join(_small(shared), "bucket", "left_semi").select("node").distinct(), "near-nodes")
+    buckets = signatures.join(_small(nodes), "node", "left_semi").mapInArrow(sketched, "bucket long, node long, sketch binary")
+    buckets = buckets.join(_small(shared), "bucket", "left_semi")
     pairs = written(bucket_links(buckets, close, partitions), "near-pairs")
+    discard(signatures, shared, nodes)
     links = written(_confirmed(rows, pairs, width, percent), "near-links")
     # Copies of a class are linked with the document that stands for it.
     copies = worded.join(classes.select("text_key", "node"), "text_key").where("doc_id <> node")
     groups = written(components(links.union(copies.select("node", "doc_id"))), "near-groups")
+    discard(pairs, links, classes)
     narrow = described.select("doc_id", "n_shingles")
     found = narrow.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")

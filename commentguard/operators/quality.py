@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from commentguard import fixed_values as fv
 from commentguard.functions import text as tx
 from commentguard.operators.ranks import salted_join
+from commentguard.plans.shared import written
 
 DISTRIBUTION_DIMENSIONS = [
     "moderation_action", "label_primary", "abuse_category", "source_type", "split", "language_mix",
@@ -79,11 +80,18 @@ def validate_examples(df: DataFrame, row_key: str, expected_rows: int | None = N
 
     Checks on the whole table carry a NULL row key.  Of rows with the same id,
     the one with the lowest ``row_key`` stands and the others are violations.
+    The examples are read once; what the checks need of them (key, id, hash of
+    the text, own violations) is kept as a narrow table.
     """
-    by_row = df.select(row_key, F.explode(_row_violations()).alias("_v")).select(
-        row_key, "_v.check", "_v.detail"
+    checked = written(
+        df.select(
+            row_key, F.coalesce("example_id", F.lit("")).alias("example_id"),
+            F.sha2(F.coalesce("text", F.lit("")), 256).alias("_h"), _row_violations().alias("_found"),
+        ),
+        "examples-checked",
     )
-    ids = df.select(row_key, F.coalesce("example_id", F.lit("")).alias("example_id"))
+    by_row = checked.select(row_key, F.explode("_found").alias("_v")).select(row_key, "_v.check", "_v.detail")
+    ids = checked.select(row_key, "example_id")
     repeated = (
         ids.groupBy("example_id")
         .agg(F.min(row_key).alias("_first"), F.count("*").alias("_n"))
@@ -97,13 +105,14 @@ def validate_examples(df: DataFrame, row_key: str, expected_rows: int | None = N
     )
     no_key = F.lit(None).cast(df.schema[row_key].dataType).alias(row_key)
     whole = [
-        duplicate_count(df.withColumn("text", F.coalesce("text", F.lit(""))))
+        checked.groupBy("_h").agg(F.count("*").alias("n"))
+        .agg(F.count_if(F.col("n") > 1).alias("n_duplicate_texts"))
         .filter("n_duplicate_texts > 0")
         .select(no_key, F.lit("duplicate text values").alias("check"), F.col("n_duplicate_texts").cast("string").alias("detail"))
     ]
     if expected_rows is not None:
         whole.append(
-            df.agg(F.count("*").alias("n"))
+            checked.agg(F.count("*").alias("n"))
             .filter(F.col("n") != expected_rows)
             .select(no_key, F.lit("unexpected row count").alias("check"), F.col("n").cast("string").alias("detail"))
         )

@@ -39,14 +39,29 @@ def pre_tokens(text: str | None) -> list[str]:
     return _PRE_TOKEN.findall(" " + text) if text else []
 
 
+def piece_tree(scores: dict[str, float]) -> dict:
+    """The pieces as nested dicts by letter; a piece's score is under None where it ends."""
+    tree: dict = {}
+    for piece, score in scores.items():
+        at = tree
+        for letter in piece:
+            at = at.setdefault(letter, {})
+        at[None] = score
+    return tree
+
+
 class Node:
-    """What the best segmentation of one prefix scores, and of how many tokens it is."""
+    """What the best segmentation of one prefix scores, of how many tokens it is, and the pieces under way.
+
+    A piece under way is where it stands in the piece tree, with the score and
+    count of the prefix that it began behind.
+    """
 
-    __slots__ = ("children", "count", "score")
+    __slots__ = ("children", "count", "score", "under_way")
 
-    def __init__(self, score: float, count: int):
+    def __init__(self, score: float, count: int, under_way: list):
         self.children: dict[str, Node] = {}
-        self.score, self.count = score, count
+        self.score, self.count, self.under_way = score, count, under_way
 
 
 class TokenTrie(dict):
@@ -54,61 +69,51 @@ class TokenTrie(dict):
 
     A pre-token that is asked for the first time is inserted: nodes that
     another one has made are walked, and each new node's forward score comes
-    from those above it, so a shared prefix is scored once.  Its end's count is
-    kept under the pre-token.  Of equal scores the one with fewer tokens is
-    taken.
+    from the pieces under way in the one above it, so a shared prefix is scored
+    once.  Its end's count is kept under the pre-token.  Of equal scores the one
+    with fewer tokens is taken.
     """
 
     def __init__(self, scores: dict[str, float], max_nodes: int = MAX_NODES):
         super().__init__()
-        self.scores, self.max_nodes = scores, max_nodes
-        self.longest = max(map(len, scores), default=1)
+        self.tree, self.max_nodes = piece_tree(scores), max_nodes
         self.byte = min(scores.values(), default=0.0) - UNKNOWN
-        self.root, self.nodes = Node(0.0, 0), 0
+        self.root, self.nodes = Node(0.0, 0, []), 0
 
     def __missing__(self, token: str) -> int:
-        word = token.replace(" ", "▁")
-        if len(word) > MAX_SHARED:
-            return self._alone(word)
+        word, shared = token.replace(" ", "▁"), len(token) <= MAX_SHARED
         if self.nodes > self.max_nodes:
             self.clear()
-            self.root, self.nodes = Node(0.0, 0), 0
-        path = [self.root]
-        for end, letter in enumerate(word, 1):
-            node = path[-1].children.get(letter)
+            self.root, self.nodes = Node(0.0, 0, []), 0
+        at = self.root
+        for letter in word:
+            node = at.children.get(letter) if shared else None
             if node is None:
-                node = Node(*self._best(word, end, path, 0))
-                path[-1].children[letter] = node
-                self.nodes += 1
-            path.append(node)
-        self[token] = path[-1].count
-        return path[-1].count
-
-    def _best(self, word: str, end: int, path: list[Node], shift: int) -> tuple[float, int]:
-        """Over the pieces that end here; ``path`` holds the prefixes from ``shift`` on."""
-        best, count, scores = -math.inf, 0, self.scores
-        for start in range(max(0, end - self.longest), end):
-            piece = scores.get(word[start:end])
-            if piece is not None:
-                before = path[start - shift]
-                total = before.score + piece
-                if total > best or (total == best and before.count + 1 < count):
-                    best, count = total, before.count + 1
-        if word[end - 1] not in scores:
-            before, size = path[end - 1 - shift], len(word[end - 1].encode("utf-8", "surrogatepass"))
-            total = before.score + size * self.byte
-            if total > best or (total == best and before.count + size < count):
-                best, count = total, before.count + size
-        return best, count
-
-    def _alone(self, word: str) -> int:
-        path, shift = [self.root], 0
-        for end in range(1, len(word) + 1):
-            path.append(Node(*self._best(word, end, path, shift)))
-            if len(path) > self.longest + 1:
-                path.pop(0)
-                shift += 1
-        return path[-1].count
+                node = self._after(at, letter)
+                if shared:
+                    at.children[letter] = node
+                    self.nodes += 1
+            at = node
+        if shared:
+            self[token] = at.count
+        return at.count
+
+    def _after(self, at: Node, letter: str) -> Node:
+        """The prefix of ``at`` and one more letter."""
+        best, count, under_way = -math.inf, 0, []
+        for stand, score, n in (*at.under_way, (self.tree, at.score, at.count)):
+            stand = stand.get(letter)
+            if stand is not None:
+                under_way.append((stand, score, n))
+                piece = stand.get(None)
+                if piece is not None and (score + piece > best or (score + piece == best and n + 1 < count)):
+                    best, count = score + piece, n + 1
+        if None not in self.tree.get(letter, ()):
+            size = len(letter.encode("utf-8", "surrogatepass"))
+            total = at.score + size * self.byte
+            if total > best or (total == best and at.count + size < count):
+                best, count = total, at.count + size
+        return Node(best, count, under_way)
 
 
 def count_tokens(docs: DataFrame, scores: dict[str, float], max_nodes: int = MAX_NODES) -> DataFrame:

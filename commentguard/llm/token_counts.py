@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections.abc import Iterator
@@ -126,15 +127,19 @@ def count_tokens(docs: DataFrame, scores: dict[str, float], max_nodes: int = MAX
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = TokenTrie(held.value, max_nodes)
-        for batch in batches:
-            parts, tokens = [], []
-            for text in batch.column(1):
-                found = pre_tokens(text.as_py())
-                parts.append(len(found))
-                tokens.append(sum(map(trie.__getitem__, found)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(parts, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"]
-            )
+        gc.disable()  # a trie has no cycles, and searching it for some takes as long as building it
+        try:
+            for batch in batches:
+                parts, tokens = [], []
+                for text in batch.column(1):
+                    found = pre_tokens(text.as_py())
+                    parts.append(len(found))
+                    tokens.append(sum(map(trie.__getitem__, found)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(parts, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"]
+                )
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(count, "doc_id long, n_pretokens long, n_tokens long")

@@ -55,11 +55,12 @@ def components(links: DataFrame) -> DataFrame:
 
     The component is the smallest node that can be reached.  Alternating large
     and small stars: each step hands every node's neighbours to the smallest of
-    them, until nothing moves; the number of steps grows with the logarithm of
-    a component's size.  Null ends and self-links are ignored.
+    them, until only stars are left; the number of steps grows with the
+    logarithm of a component's size.  Null ends and self-links are ignored.
     """
-    stars, mark = _marked(links.select("a", "b").where("a <> b").distinct())
-    while mark[0]:
+    ends = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = written(ends.distinct(), "links")
+    while not _only_stars(stars):
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "links-least")
         larger = both.join(least, "a").where("b > a and b <> m").select(F.col("m").alias("a"), "b")
@@ -67,16 +68,16 @@ def components(links: DataFrame) -> DataFrame:
         discard(least)
         least = written(larger.groupBy("b").agg(F.min("a").alias("m")), "links-least")
         smaller = larger.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        moved, now = _marked(smaller.union(least.select(F.col("m").alias("a"), "b")).distinct())
+        moved = written(smaller.union(least.select(F.col("m").alias("a"), "b")).distinct(), "links")
         discard(stars, larger, least)
-        stars, done, mark = moved, now == mark, now
-        if done:
-            break
-    ends = stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
-    return ends.union(stars.select("a", "a").distinct())
+        stars = moved
+    return stars.select(F.col("b").alias("node"), F.col("a").alias("component")).union(stars.select("a", "a").distinct())
 
 
-def _marked(links: DataFrame) -> tuple[DataFrame, tuple]:
-    kept = written(links, "links")
-    mark = kept.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return kept, tuple(mark)
+def _only_stars(links: DataFrame) -> bool:
+    """Whether every larger end has one link and is no smaller end."""
+    sides = links.select(F.col("a").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger")).union(
+        links.select("b", F.lit(0), F.lit(1))
+    )
+    nodes = sides.groupBy("node").agg(F.max("smaller").alias("smaller"), F.sum("larger").alias("larger"))
+    return nodes.where("larger + smaller > 1 and larger > 0").isEmpty()

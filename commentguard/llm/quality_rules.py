@@ -141,17 +141,19 @@ def quality_cascade(
     return docs.withColumn("failed", failed).withColumn("kept", F.col("failed").isNull())
 
 
-def with_figures(docs: DataFrame, names: list[str]) -> DataFrame:
+def with_figures(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Add metrics as columns; those of words come from one split of the text."""
-
-    def of_words(w: Column) -> Column:
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.concat_ws("", w)).cast("long").alias("word_chars"),
-            repeated_words(w).cast("long").alias("n_repeat_words"),
-        )
-
-    text, own = F.col("text"), {"n_words", "word_chars", "n_repeat_words"}
-    split = docs.withColumn("_words", bound(words(text), of_words))
+    of_words = {
+        "n_words": F.size,
+        "word_chars": lambda w: F.length(F.concat_ws("", w)),
+        "n_repeat_words": repeated_words,
+    }
+    own = [n for n in names if n in of_words]
+
+    def counted(w: Column) -> Column:
+        return F.struct(*[of_words[n](w).cast("long").alias(n) for n in own])
+
+    text = F.col("text")
+    split = docs.withColumn("_words", bound(words(text), counted)) if own else docs
     columns = {n: F.col("_words")[n] if n in own else METRICS[n](text) for n in names}
     return split.withColumns(columns).drop("_words")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from commentguard.llm.decontaminate import benchmark_overlap
 from commentguard.llm.languages import fit_languages, predict_languages
-from commentguard.llm.line_dedup import dedup_lines
+from commentguard.llm.line_dedup import KEYS, dedup_lines
 from commentguard.llm.mixing import mix_sources
 from commentguard.llm.near_dedup import near_duplicates
 from commentguard.llm.pages import extract_pages
@@ -50,7 +50,7 @@ def op8_benchmark_decontamination(spark, sf_dir):
 
 @query
 def op9_line_dedup(spark, sf_dir):
-    shortened = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    shortened = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), keys=KEYS)
     return shortened.select("doc_id", "n_lines", "n_removed", "text")
 
 

@@ -50,7 +50,7 @@ def op8_benchmark_decontamination(spark, sf_dir):
 
 @query
 def op9_line_dedup(spark, sf_dir):
-    shortened = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), keys=KEYS)
+    shortened = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1, keys=KEYS)
     return shortened.select("doc_id", "n_lines", "n_removed", "text")
 
 

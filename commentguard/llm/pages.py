@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of HTML of a host that one suffix array covers; a larger host has several.
@@ -135,12 +136,10 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def repeats(streams: list[list[list[str]]]) -> list[list[np.ndarray]]:
-    """For each token of each block of each page: on how many pages the longest-shared substring around it occurs.
+def _sequence(streams: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """The pages' tokens as one sequence: number, page and tokens left on the page of each place; the tokens by number.
 
-    The pages' tokens, with a mark between blocks, are one sequence.  Its
-    suffixes are sorted by doubling to the depth of ``LONG`` tokens; suffixes of
-    equal rank begin with the same long substring.
+    0 stands between blocks, a negative number ends a page: no substring runs over it.
     """
     numbers: dict[str, int] = {}
     codes, pages = [], []
@@ -149,11 +148,48 @@ def repeats(streams: list[list[list[str]]]) -> list[list[np.ndarray]]:
         for block in blocks:
             row += [numbers.setdefault(w, len(numbers) + 1) for w in block]
             row.append(0)
-        codes += [*row, -page - 1]  # no substring runs over the end of a page
+        codes += [*row, -page - 1]
         pages += [page] * (len(row) + 1)
-    size, owner = len(codes), np.array(pages, np.int64)
-    rank, depth = np.array(codes, np.int64), 1
-    rank[rank < 0] = len(numbers) - rank[rank < 0]
+    codes = np.array(codes, np.int64)
+    ends = np.flatnonzero(codes < 0)
+    room = ends[np.searchsorted(ends, np.arange(len(codes)))] - np.arange(len(codes))
+    return codes, np.array(pages, np.int64), room, list(numbers)
+
+
+def _window_hashes(codes: np.ndarray, words: list[str], host: str) -> np.ndarray:
+    """A 64-bit hash of the host and the ``LONG`` tokens from each place on."""
+    own = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in ["", *words]], np.uint64)
+    tokens, out = own[np.maximum(codes, 0)], np.full(len(codes), xxhash.xxh64_intdigest(host), np.uint64)
+    for k in range(LONG):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out[: len(out) - k] += tokens[k:]
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
+
+
+def window_counts(streams: list[list[list[str]]], host: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct window hashes of the pages, and on how many of them each stands."""
+    codes, owner, room, words = _sequence(streams)
+    here = room >= LONG
+    pairs = np.unique(np.stack([_window_hashes(codes, words, host)[here], owner[here]], axis=1), axis=0)
+    return np.unique(pairs[:, 0], return_counts=True)
+
+
+def repeats(
+    streams: list[list[list[str]]], host: str = "", counts: tuple[np.ndarray, np.ndarray] | None = None,
+) -> list[list[np.ndarray]]:
+    """For each token of each block of each page: on how many pages the longest-shared substring around it occurs.
+
+    The pages' tokens, with a mark between blocks, are one sequence.  Its
+    suffixes are sorted by doubling to the depth of ``LONG`` tokens; suffixes of
+    equal rank begin with the same long substring.  ``counts`` has the window
+    hashes (sorted) that stand on several pages of the whole host, where these
+    are only some of its pages, and the number of those pages.
+    """
+    codes, owner, room, words = _sequence(streams)
+    size = len(codes)
+    rank, depth = codes.copy(), 1
+    rank[rank < 0] = len(words) - rank[rank < 0]
     while depth < LONG:
         # As many ranks as fit in one number take the place of doubling where that is more.
         bits = int(rank.max() + 2).bit_length()
@@ -166,8 +202,10 @@ def repeats(streams: list[list[list[str]]]) -> list[list[np.ndarray]]:
         depth += shifts[-1]
     both = np.unique(rank * len(streams) + owner)
     spread = np.bincount(both // len(streams))[rank]
-    ends = np.flatnonzero(np.array(codes) < 0)
-    room = ends[np.searchsorted(ends, np.arange(size))] - np.arange(size)  # tokens left on the page
+    if counts is not None and len(counts[0]):
+        hashes = _window_hashes(codes, words, host)
+        spot = np.minimum(np.searchsorted(counts[0], hashes), len(counts[0]) - 1)
+        spread = np.maximum(spread, np.where(counts[0][spot] == hashes, counts[1][spot], 1))
     spread = np.where(room >= LONG, spread, 1)
     most = spread.copy()
     for k in range(1, LONG):  # a token is covered by the substrings that start up to LONG - 1 before it
@@ -184,25 +222,34 @@ def repeats(streams: list[list[list[str]]]) -> list[list[np.ndarray]]:
     return out
 
 
-def main_texts(pages: list[str | None]) -> list[str]:
+def _streams(pages: list[str | None]) -> list[tuple[bool, list[str]]]:
+    """For each page whether an article is marked, and the texts of its blocks (only the article's, if so)."""
+    found = []
+    for page in pages:
+        blocks = blocks_of(page)
+        marked = [t for r, t in blocks if r == 2]
+        found.append((bool(marked), marked or [t for _, t in blocks]))
+    return found
+
+
+def main_texts(
+    pages: list[str | None], host: str = "", n_pages: int | None = None, counts: tuple[np.ndarray, np.ndarray] | None = None,
+) -> list[str]:
     """The main text of each page, of pages of one host.
 
     A page with a marked article gives its blocks, without those that the
     host's pages share as boilerplate; any other page gives the blocks that no
     other page has.  If repeats would leave nothing the page is a copy of
-    another, and all its blocks stay.
+    another, and all its blocks stay.  If the host has more pages than these,
+    ``n_pages`` is their number and ``counts`` as in ``repeats``.
     """
-    found = []
-    for page in pages:
-        blocks = blocks_of(page)
-        marked = [t for r, t in blocks if r == 2]
-        found.append((bool(marked), marked or [t for _, t in blocks]))
-    shared = repeats([[t.split(" ") for t in texts] for _, texts in found]) if len(found) > 1 else None
+    found, n_pages = _streams(pages), n_pages or len(pages)
+    shared = repeats([[t.split(" ") for t in texts] for _, texts in found], host, counts) if n_pages > 1 else None
     out = []
     for k, (marked, texts) in enumerate(found):
         kept = texts
         if shared:
-            least = max(ARTICLE_PAGES, ARTICLE_SHARE * len(pages)) if marked else 2
+            least = max(ARTICLE_PAGES, ARTICLE_SHARE * n_pages) if marked else 2
             kept = [t for t, n in zip(texts, shared[k], strict=True) if np.mean(n >= least) < COVERED]
         out.append("\n".join(kept or texts))
     return out
@@ -211,23 +258,44 @@ def main_texts(pages: list[str | None]) -> list[str]:
 def extract_pages(pages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """page_id, url and text of every row of ``pages`` (page_id, url, html).
 
-    Pages are compared with others of their host.  A host is dealt into parts
-    of about ``part_bytes`` of HTML by a hash of its pages, so that neither
-    memory nor a task grows with it; what is boilerplate of a host is on many of
-    its pages and so in every part.  A null url is a host of its own, null or
-    empty html has an empty text, equal rows stay.
+    Pages are compared with all others of their host.  A host is dealt into
+    parts of about ``part_bytes`` of HTML by a hash of its pages, so that neither
+    memory nor a task grows with it.  Where that makes several parts, each gives
+    the hashes of its windows of ``LONG`` tokens with the pages they are on;
+    these are added up over the host, and each part gets back those of its own
+    that several pages have.  A null url is a host of its own, null or empty html
+    has an empty text, equal rows stay.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes"))
-    parts = sizes.select("host", F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / part_bytes).alias("parts"))
+    sizes = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes"), F.count("*").alias("n_pages"))
+    parts = sizes.select("host", "n_pages", F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / part_bytes).alias("parts"))
     part = F.pmod(F.xxhash64("page_id", "url", "html"), "parts")
     # The parts are few rows for each host; the pages themselves move once, to their part.
-    dealt = rows.join(F.broadcast(parts) if parts.count() <= 500_000 else parts, "host").withColumn("part", part)
+    dealt = rows.join(F.broadcast(parts) if parts.count() <= 500_000 else parts, "host").withColumn("part", F.xxhash64("host", part))
+
+    def count(table: pa.Table) -> pa.Table:
+        hashes = counts = np.empty(0, np.int64)
+        if table.column("parts")[0].as_py() > 1:
+            found = _streams(table.column("html").to_pylist())
+            hashes, counts = window_counts([[t.split(" ") for t in texts] for _, texts in found], table.column("host")[0].as_py())
+        part = pa.array(np.full(len(hashes), table.column("part")[0].as_py()), pa.int64())
+        return pa.table({"part": part, "hash": pa.array(hashes, pa.int64()), "n": pa.array(counts, pa.int64())})
+
+    windows = dealt.groupBy("part").applyInArrow(count, "part long, hash long, n long")
+    # A window has one row for each part of its host, not for each page.
+    repeated = windows.groupBy("hash").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts")).where("n > 1")
+    repeated = repeated.select(F.explode("parts").alias("part"), "hash", "n")
 
-    def extract(table: pa.Table) -> pa.Table:
-        texts = main_texts(table.column("html").to_pylist())
+    def extract(table: pa.Table, known: pa.Table) -> pa.Table:
+        counts = None
+        if known.num_rows:
+            hashes = known.column("hash").to_numpy()
+            order = np.argsort(hashes)
+            counts = hashes[order], known.column("n").to_numpy()[order]
+        first = {c: table.column(c)[0].as_py() for c in ("host", "n_pages")} if table.num_rows else {"host": "", "n_pages": 0}
+        texts = main_texts(table.column("html").to_pylist(), **first, counts=counts)
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string())})
 
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
-    return dealt.groupBy("host", "part").applyInArrow(extract, schema)
+    return dealt.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(extract, schema)

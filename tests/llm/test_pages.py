@@ -78,3 +78,15 @@ def test_frame(spark):
     got = sorted((str(r.page_id), r.text) for r in extract_pages(frame, part_bytes=1000).collect())
     assert got == sorted([(str(k), "hot host page") for k in range(50)] + [("None", ""), ("7", ""), ("7", "")])
     assert extract_pages(frame.limit(0)).count() == 0
+
+
+def test_repeats_count_over_all_parts_of_a_host(spark):
+    """The text of a page does not depend on the number of parts its host is dealt into."""
+    notice = "please accept all of our terms before you read on here"
+    share = "follow us on all of the usual networks for more of this"
+    pages = [f"<body>{f'<div>{notice}</div>' if k in (3, 77) else ''}<p>{' '.join(f'own{k}x{j}' for j in range(12))}</p></body>" for k in range(80)]
+    pages += [f"<article><p>{' '.join(f'story{k}x{j}' for j in range(12))}</p>{f'<p>{share}</p>' if k % 4 else ''}</article>" for k in range(240)]
+    frame = spark.createDataFrame([(k, "http://h.example/", page) for k, page in enumerate(pages)], "page_id long, url string, html string")
+    whole, parts = ({r.page_id: r.text for r in extract_pages(frame, part_bytes=n).collect()} for n in (10**9, 500))
+    assert whole == parts == dict(enumerate(main_texts(pages)))
+    assert not any(notice in t or share in t for t in parts.values())

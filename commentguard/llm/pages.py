@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of HTML of a host that one suffix array covers; a larger host has several.
 PART_BYTES = 1_500_000
-#: Tokens from which a repeated substring is long, and the share of a block it must cover.
-LONG, COVERED = 8, 0.8
+#: Tokens from which a repeated substring is long.
+LONG = 8
 #: Inside a marked article a repeat only counts as the host's boilerplate on this share of its pages, and so many at least.
 ARTICLE_SHARE, ARTICLE_PAGES = 0.5, 4
 #: Share of a block's characters inside links that makes it a menu, where no article is marked.
@@ -232,13 +232,27 @@ def _streams(pages: list[str | None]) -> list[tuple[bool, list[str]]]:
     return found
 
 
+def _without_runs(text: str, covered: np.ndarray) -> str:
+    """The text without its covered runs of ``LONG`` tokens or more; nothing if all tokens are covered."""
+    if not covered.any():
+        return text
+    if covered.all():
+        return ""
+    edges = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
+    stays = np.ones(len(covered), bool)
+    for start, end in edges.reshape(-1, 2).tolist():
+        if end - start >= LONG:
+            stays[start:end] = False
+    return " ".join(w for w, s in zip(text.split(" "), stays.tolist(), strict=True) if s)
+
+
 def main_texts(
     pages: list[str | None], host: str = "", n_pages: int | None = None, counts: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> list[str]:
     """The main text of each page, of pages of one host.
 
-    A page with a marked article gives its blocks, without those that the
-    host's pages share as boilerplate; any other page gives the blocks that no
+    A page with a marked article gives its blocks, without the runs of tokens
+    that the host's pages share as boilerplate; any other page gives what no
     other page has.  If repeats would leave nothing the page is a copy of
     another, and all its blocks stay.  If the host has more pages than these,
     ``n_pages`` is their number and ``counts`` as in ``repeats``.
@@ -250,7 +264,7 @@ def main_texts(
         kept = texts
         if shared:
             least = max(ARTICLE_PAGES, ARTICLE_SHARE * n_pages) if marked else 2
-            kept = [t for t, n in zip(texts, shared[k], strict=True) if np.mean(n >= least) < COVERED]
+            kept = [rest for t, n in zip(texts, shared[k], strict=True) if (rest := _without_runs(t, n >= least))]
         out.append("\n".join(kept or texts))
     return out
 

@@ -90,3 +90,12 @@ def test_repeats_count_over_all_parts_of_a_host(spark):
     whole, parts = ({r.page_id: r.text for r in extract_pages(frame, part_bytes=n).collect()} for n in (10**9, 500))
     assert whole == parts == dict(enumerate(main_texts(pages)))
     assert not any(notice in t or share in t for t in parts.values())
+
+
+def test_blocks_lose_only_their_shared_runs():
+    words = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    shared = words("same", 85)
+    pages = [f"<body><p>{shared} {words(f'own{k}x', 15)}</p></body>" for k in range(2)]
+    assert main_texts(pages) == [words(f"own{k}x", 15) for k in range(2)]
+    pages = [f"<article><p>{words(f'a{k}x', 30)} {shared} {words(f'b{k}x', 30)}</p></article>" for k in range(5)]
+    assert main_texts(pages) == [f"{words(f'a{k}x', 30)} {words(f'b{k}x', 30)}" for k in range(5)]

@@ -1,7 +1,9 @@
 """Comment feeds: nested threads to rows, and what is worth moderating."""
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -10,6 +12,68 @@ from commentguard import fixed_values as fv
 from commentguard.functions import text as tx
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"true|false|null|NaN|-?Infinity|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?", re.A)
+
+
+def parsed(text: str):
+    """What ``json.loads`` gives, at any depth: open lists and objects are on a stack of its own."""
+    whole: list = []
+    stack, names, at = [whole], [None], 0
+
+    def char() -> str:
+        nonlocal at
+        at = _BLANK.match(text, at).end()
+        return text[at : at + 1]
+
+    def name() -> str:
+        nonlocal at
+        if char() != '"':
+            raise ValueError(f"no name at {at}")
+        found, at = scanstring(text, at + 1, True)
+        if char() != ":":
+            raise ValueError(f"no colon at {at}")
+        at += 1
+        return found
+
+    while True:
+        c, opened = char(), None
+        if c in ("{", "["):
+            value = opened = {} if c == "{" else []
+            at += 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif m := _SCALAR.match(text, at):
+            value, at = json.loads(m[0]), m.end()
+        else:
+            raise ValueError(f"no value at {at}")
+        if isinstance(stack[-1], dict):
+            stack[-1][names[-1]] = value
+        else:
+            stack[-1].append(value)
+        if opened is not None:
+            stack.append(opened)
+            names.append(None)
+            if char() != ("}" if c == "{" else "]"):
+                names[-1] = name() if c == "{" else None
+                continue
+        # A value is complete: close what ends here, up to a comma.
+        while len(stack) > 1:
+            own, c = stack[-1], char()
+            at += 1
+            if c == ",":
+                names[-1] = name() if isinstance(own, dict) else None
+                break
+            if c != ("}" if isinstance(own, dict) else "]"):
+                raise ValueError(f"no end at {at}")
+            stack.pop()
+            names.pop()
+        else:
+            if char():
+                raise ValueError(f"more text at {at}")
+            return whole[0]
+
+
 def _comments_of(root) -> list[tuple[str, int, int]]:
     """(body, score, depth) of the comments under a node, parents first."""
     found, waiting = [], [(root, 0)]
@@ -27,14 +91,14 @@ def _comments_of(root) -> list[tuple[str, int, int]]:
     return found
 
 
-def flatten_threads(df: DataFrame, json_column: str = "thread", key: str = "thread_id") -> DataFrame:
+def flatten_threads(df: DataFrame, json_column: str = "thread", key: str = "thread_id", any_depth: bool = False) -> DataFrame:
     """(key, position, depth, body, score) of every comment in nested threads.
 
     A thread is one JSON document, so the walk needs a stack; a small
     Arrow-batched helper does it next to the data.  Comment nodes and listing
     roots are both accepted; documents that do not parse give no rows.  One that
-    is nested too deeply to parse (over a thousand levels) gives a single row of
-    nulls beside its key, so that it is not lost unseen.
+    is nested too deeply for ``json.loads`` gives a single row of nulls beside
+    its key, so that it is not lost unseen, or with ``any_depth`` all its comments.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,8 +110,13 @@ def flatten_threads(df: DataFrame, json_column: str = "thread", key: str = "thre
                 except (TypeError, ValueError):
                     continue
                 except RecursionError:
-                    rows.append((thread_id, None, None, None, None))
-                    continue
+                    if not any_depth:
+                        rows.append((thread_id, None, None, None, None))
+                        continue
+                    try:
+                        root = parsed(text)
+                    except ValueError:
+                        continue
                 roots = root if isinstance(root, list) else [root]
                 comments = [c for r in roots for c in _comments_of(r)]
                 rows += [(thread_id, i, c[2], c[0], c[1]) for i, c in enumerate(comments)]

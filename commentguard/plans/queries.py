@@ -848,7 +848,7 @@ def s09_export_csv(spark, sf):
 
 @query
 def s10_flatten_threads(spark, sf):
-    flat = feeds.flatten_threads(inp.thread_documents(spark, sf))
+    flat = feeds.flatten_threads(inp.thread_documents(spark, sf), any_depth=True)
     return flat.select(
         F.col("thread_id").alias("conv_id"), F.col("position").alias("turn"), F.col("body").alias("text"),
         F.col("score"), F.col("depth"),

@@ -207,6 +207,26 @@ def test_a_thread_too_deep_is_reported(spark):
     assert got == {1: None, 2: "fine"}
 
 
+def test_a_thread_of_any_depth_keeps_its_comments(spark):
+    turns, below = 5_000, '""'
+    for k in reversed(range(turns)):
+        below = '{"kind": "Listing", "data": {"children": [{"kind": "t1", "data": {"body": "b%d", "score": %d, "replies": %s}}]}}' % (k, k, below)
+    df = spark.createDataFrame([(1, below), (2, below[:-1])], "thread_id long, thread string")
+    got = feeds.flatten_threads(df, any_depth=True).orderBy("position").collect()
+    assert [(r.thread_id, r.position, r.body, r.score) for r in got] == [(1, k, f"b{k}", k) for k in range(turns)]
+
+
+@pytest.mark.parametrize("text", ["1", ' [ ] ', "{}", '{"a": [1, -2.5e3, true, null, "x\\n\\u00e9"], "b": {"c": {}}, "a": 2}', "", "[1,]", "{,}", '{"a" 1}', "[1 2]", "[1}", "01", "[", '"x', "[]]", "nul", '{"a":1,}'])
+def test_own_parser_equals_json(text):
+    try:
+        want = json.loads(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            feeds.parsed(text)
+    else:
+        assert feeds.parsed(text) == want
+
+
 def test_percentiles_and_cache_follow_their_definitions(spark):
     rng = random.Random(9)
     values = [rng.choice([0.1, 0.2, 3.5, rng.random()]) for _ in range(999)]

@@ -50,19 +50,20 @@ def bucket_links(rows: DataFrame, close: Callable[[bytes, bytes], bool], partiti
     return dealt.sortWithinPartitions("bucket", "sketch", "node").mapInArrow(stretch, PAIRS).distinct()
 
 
-def near_links(rows: DataFrame, most: int, partitions: int, window: int = 4) -> DataFrame:
-    """As ``bucket_links``, for rows (bucket, node, high, low) with a sketch of 128 bits in two longs.
+def near_links(rows: DataFrame, most: int, percent: int, partitions: int, window: int = 4) -> DataFrame:
+    """As ``bucket_links``, for rows (bucket, node, high, low, size) with a sketch of 128 bits in two longs.
 
     Each row is paired with its stretch's centre and with ``window`` rows before
-    it, where at most ``most`` bits differ.
+    it, where at most ``most`` bits differ and the smaller size is ``percent`` of
+    the larger at least.
     """
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.empty((0, 4), np.int64)  # the centre of the last stretch, then the rows before
+        kept = np.empty((0, 5), np.int64)  # the centre of the last stretch, then the rows before
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            own = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
             rows = np.concatenate([kept, own])
             old, bucket = len(kept), rows[:, 0]
             # The centre that was kept heads its bucket's rows, as buckets are sorted.
@@ -75,8 +76,9 @@ def near_links(rows: DataFrame, most: int, partitions: int, window: int = 4) ->
                 fits = other >= 0
                 here, there = rows[at[fits]], rows[other[fits]]
                 same = (here[:, 0] == there[:, 0]) & (here[:, 1] != there[:, 1])
+                same &= 100 * np.minimum(here[:, 4], there[:, 4]) >= percent * np.maximum(here[:, 4], there[:, 4])
                 here, there = here[same], there[same]
-                bits = np.bitwise_count((here[:, 2:] ^ there[:, 2:]).view(np.uint64)).sum(axis=1)
+                bits = np.bitwise_count((here[:, 2:4] ^ there[:, 2:4]).astype(np.uint64)).sum(axis=1)
                 pair = np.sort(np.stack([here[:, 1], there[:, 1]], axis=1)[bits <= most], axis=1)
                 ends.append(pair)
             found = np.unique(np.concatenate(ends), axis=0)
@@ -84,7 +86,7 @@ def near_links(rows: DataFrame, most: int, partitions: int, window: int = 4) ->
             kept = rows[np.unique(np.r_[centre[-1], last[-window:]])]
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
 
-    dealt = rows.select("bucket", "node", "high", "low").repartitionByRange(partitions, "bucket", "high", "low", "node")
+    dealt = rows.select("bucket", "node", "high", "low", "size").repartitionByRange(partitions, "bucket", "high", "low", "node")
     return dealt.sortWithinPartitions("bucket", "high", "low", "node").mapInArrow(stretch, PAIRS).distinct()
 
 

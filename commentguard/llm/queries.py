@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from commentguard.llm.decontaminate import benchmark_overlap
 from commentguard.llm.languages import fit_languages, predict_languages
 from commentguard.llm.line_dedup import KEYS, dedup_lines
+from commentguard.llm.merkle import merkle_manifest
 from commentguard.llm.mixing import mix_sources
 from commentguard.llm.near_dedup import near_duplicates
 from commentguard.llm.pages import extract_pages
@@ -111,3 +112,14 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 @query
 def op3_token_counts(spark, sf_dir, vocabulary=VOCABULARY):
     return count_tokens(read(spark, sf_dir, "documents"), unigram_scores(vocabulary))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    later = F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    manifest = merkle_manifest(read(spark, sf_dir, "documents"), {"n_chars": later})
+    return manifest.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )

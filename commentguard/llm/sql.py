@@ -131,3 +131,51 @@ links AS (
 SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM s JOIN least ON least.a = s.doc_id
 """
+
+# CRC-32 in bits: each byte enters at its first of eight steps.
+ORACLES["op11_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, source, lang, n_chars, text,
+         list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+             lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)) AS crc
+  FROM documents
+), framed AS (
+  SELECT row_no, doc_id, lang, coalesce(xor(crc, 4294967295) % 7 = 0 AND n_chars IS NOT NULL, false) AS tampered,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+         n_chars, coalesce(strlen(text) || ':' || text, '-') AS after
+  FROM d
+), hashed AS (
+  SELECT row_no, doc_id, lang, sha256(before || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || after) AS leaf,
+         CASE WHEN tampered THEN sha256(before || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || after) END AS changed
+  FROM framed
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM hashed
+), low AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lang, level, pos // 2, n
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1
+), high AS (
+  SELECT 0 AS level, pos, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, pos // 2, n
+), up AS (
+  SELECT row_no, lang, 0 AS level, pos, n, coalesce(changed, leaf) AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT up.row_no, up.lang, up.level + 1, up.pos // 2, (up.n + 1) // 2,
+         sha256(CASE WHEN up.pos % 2 = 0 THEN up.h || coalesce(low.h, '') ELSE low.h || up.h END), up.proof || coalesce(low.h, '')
+  FROM up LEFT JOIN low ON low.lang IS NOT DISTINCT FROM up.lang AND low.level = up.level AND low.pos = xor(up.pos, 1::BIGINT)
+  WHERE up.n > 1
+), upper AS (
+  SELECT up.row_no, 0 AS level, s.pos, s.n, up.h, up.proof FROM up JOIN subroots s ON s.lang IS NOT DISTINCT FROM up.lang WHERE up.n = 1
+  UNION ALL
+  SELECT u.row_no, u.level + 1, u.pos // 2, (u.n + 1) // 2,
+         sha256(CASE WHEN u.pos % 2 = 0 THEN u.h || coalesce(high.h, '') ELSE high.h || u.h END), u.proof || coalesce(high.h, '')
+  FROM upper u LEFT JOIN high ON high.level = u.level AND high.pos = xor(u.pos, 1::BIGINT) WHERE u.n > 1
+), top AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, upper.h AS folded_root, upper.h = root AS verified
+FROM leaves JOIN upper USING (row_no) JOIN subroots s ON s.lang IS NOT DISTINCT FROM leaves.lang, top WHERE upper.n = 1
+"""

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from commentguard.llm.align import align_tokens, link_support
 from commentguard.llm.decontaminate import benchmark_overlap
 from commentguard.llm.languages import fit_languages, predict_languages
 from commentguard.llm.line_dedup import KEYS, dedup_lines
 from commentguard.llm.merkle import merkle_manifest
 from commentguard.llm.mixing import mix_sources
 from commentguard.llm.near_dedup import near_duplicates
+from commentguard.llm.packing import pack_documents
 from commentguard.llm.pages import extract_pages
 from commentguard.llm.quality_rules import quality_cascade, with_figures
 from commentguard.llm.secrets import joined, secret_spans
@@ -123,3 +125,22 @@ def op11_merkle_manifest(spark, sf_dir):
         "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+#: Places of the public vocabularies that are aligned; documents are packed by the first.
+BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op12_tokenizer_alignment(spark, sf_dir, a_path=BYTE_BPE, b_path=PIECE_BPE):
+    aligned = align_tokens(read(spark, sf_dir, "documents"), a_path, b_path)
+    sizes = {name: F.size(column).cast("long") for name, column in (("n_a", "a_ids"), ("n_b", "b_ids"), ("n_groups", "a_cuts"))}
+    digest = F.when(F.size("a_ids") == 0, "").otherwise(F.sha2("groups", 256))
+    supported = link_support(aligned, {"doc_id": F.col("doc_id"), **sizes, "groups_sha256": digest})
+    return supported.select("doc_id", *sizes, "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op13_best_fit_packing(spark, sf_dir, vocabulary=BYTE_BPE):
+    packed = pack_documents(read(spark, sf_dir, "documents"), vocabulary)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -29,4 +29,4 @@ def test_empty_tables_give_no_rows(spark, empty_tables, name):
 
 
 def test_each_operator_has_one_query():
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{k}" for k in range(1, 12))
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{k}" for k in range(1, 14))

@@ -174,7 +174,7 @@ def epoch(sizes: np.ndarray, population: list[np.ndarray], rng: np.random.Genera
 _ROW = "block long, island int, sizes binary, bins int, spread double, solution binary"
 
 
-def _evolve(blocks: DataFrame, length: int, seed: int) -> DataFrame:
+def _evolve(blocks: DataFrame, problems: int, length: int, seed: int) -> DataFrame:
     """block, sizes and the best solution of each block (block, sizes) after the epochs of its islands."""
 
     def run(number: int):
@@ -199,8 +199,10 @@ def _evolve(blocks: DataFrame, length: int, seed: int) -> DataFrame:
 
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
     rows = blocks.select("block", islands, "sizes").selectExpr("*", "0 AS bins", "0D AS spread", "cast(null as binary) AS solution")
+    # Rows are few and work on them is long: tasks are counted by islands, not by bytes.
+    tasks = min(ISLANDS * problems, 4 * max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.sparkSession.sparkContext.defaultParallelism))
     for number in range(EPOCHS):
-        rows = rows.groupBy("block", "island").applyInArrow(run(number), _ROW)
+        rows = rows.repartition(tasks, "block", "island").groupBy("block", "island").applyInArrow(run(number), _ROW)
     best = F.min_by("solution", F.struct("bins", "spread", "solution"))
     return rows.groupBy("block").agg(F.first("sizes").alias("sizes"), best.alias("solution"))
 
@@ -242,7 +244,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, seed: int = 1) -> DataFrame:
         blocks = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("length", "uid")), asc=False).alias("p"))
         blocks = written(blocks.select("block", F.col("p.uid").alias("uids"), F.col("p.length").alias("lengths")), "pack-blocks")
         sizes = blocks.select("block", _packed("lengths").alias("sizes"))
-        solved = blocks.join(_evolve(sizes, length, seed + number).select("block", "solution"), "block")
+        solved = blocks.join(_evolve(sizes, problems, length, seed + number).select("block", "solution"), "block")
         rows = written(
             solved.mapInArrow(filled, "uid long, length int, sequence_id long, offset long, filled long"), "packed"
         )

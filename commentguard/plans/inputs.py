@@ -89,6 +89,15 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_sample_text(events)
 
 
+def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A moderator's action on the text of every event, up to 96 minutes after it."""
+    delay = F.make_dt_interval(mins=(F.col("comment_id") % 97).cast("int"))
+    return event_comments(spark, sf_dir).select(
+        F.col("comment_id").alias("feedback_id"), tx.text_hash("text").alias("text_hash"),
+        _pick(fv.ACTIONS, F.col("client_id") % 3).alias("human_action"), (F.col("ts").cast("timestamp_ltz") + delay).alias("timestamp"),
+    )
+
+
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, id, part, text) of every document, conversation turn and event."""
     part = F.lit(0).cast("long")

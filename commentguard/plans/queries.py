@@ -14,7 +14,7 @@ from commentguard.operators.normalize import with_normalized
 from commentguard.plans import inputs as inp
 from commentguard.plans.shared import shared_path
 from commentguard.sources import tables as tb
-from commentguard.streaming import live
+from commentguard.streaming import live, stateful
 
 QUERIES: dict = {}
 
@@ -892,8 +892,7 @@ def s14_build_rule_index(spark, sf):
 # --- Streams -----------------------------------------------------------------
 
 
-def _run_to_parquet(spark, stream: DataFrame, name: str) -> DataFrame:
-    path = shared_path(spark, name)
+def _run_to_parquet(spark, stream: DataFrame, path: str) -> DataFrame:
     running = (
         stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint")
         .trigger(availableNow=True).start(path)
@@ -902,10 +901,33 @@ def _run_to_parquet(spark, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _replayed(spark, logs: dict[str, tuple[DataFrame, str]], build, name: str, slices: int = 3) -> DataFrame:
+    """What a stream makes of logs (table, time column) that arrive in slices of time.
+
+    After each slice the stream is started anew from its checkpoint and takes
+    what has come, as a job does that runs by the hour.
+    """
+    root = shared_path(spark, name)
+    edges = [table.agg(F.min(ts).cast("timestamp_ltz"), F.max(ts).cast("timestamp_ltz")).first() for table, ts in logs.values()]
+    edges = [x for x in edges if x[0] is not None]
+    for k in range(slices):
+        for log, (table, ts) in logs.items():
+            number = F.lit(0)
+            if edges:
+                lo, hi = min(x[0] for x in edges), max(x[1] for x in edges)
+                span = max(1.0, (hi - lo).total_seconds() + 1)
+                seconds = (F.unix_micros(F.col(ts).cast("timestamp_ltz")) - F.unix_micros(F.lit(lo))) / 1e6
+                number = F.coalesce(F.floor(seconds * slices / span), F.lit(0))
+            table.where(number == k).write.mode("append").parquet(f"{root}/{log}")
+        streams = {log: spark.readStream.schema(table.schema).parquet(f"{root}/{log}") for log, (table, _) in logs.items()}
+        out = _run_to_parquet(spark, build(**streams), f"{root}/out")
+    return out
+
+
 @query
 def x01_moderate_stream(spark, sf):
     decided = live.moderate_stream(inp.event_stream(spark, sf))
-    return _flat_decisions(_run_to_parquet(spark, decided, "stream"), "comment_id")
+    return _flat_decisions(_run_to_parquet(spark, decided, shared_path(spark, "stream")), "comment_id")
 
 
 @query
@@ -930,10 +952,14 @@ def x03_dedupe_stream_week(spark, sf):
     return _deduped(spark, sf, 7 * 86_400)
 
 
+def _timed_events(spark, sf):
+    return inp.event_comments(spark, sf).withColumn("ts", F.col("ts").cast("timestamp_ltz"))
+
+
 def _deduped(spark, sf, ttl_seconds):
-    events = inp.event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    first = live.dedupe_stream(events, ttl_seconds=ttl_seconds)
-    return _run_to_parquet(spark, first, "deduped").select("cache_key", "comment_id")
+    logs = {"events": (_timed_events(spark, sf), "ts")}
+    out = _replayed(spark, logs, lambda events: stateful.dedupe_stream(events, ttl_seconds=ttl_seconds), "deduped")
+    return out.select("cache_key", "comment_id")
 
 
 @query
@@ -957,19 +983,27 @@ def x05_rate_limit_report(spark, sf):
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "client_id", "n")
 
 
+def _hashed_decisions(events):
+    return mod.moderate(events, fields=["predicted_action"]).select("comment_id", "ts", tx.text_hash("text").alias("text_hash"), "predicted_action")
+
+
+def _attached(joined):
+    return joined.select("feedback_id", "comment_id", "human_action", "predicted_action", (
+        F.unix_micros("feedback_at") - F.unix_micros("decided_at")).alias("lag_us"))
+
+
 @query
 def x06_stream_feedback_join(spark, sf):
-    """Decisions on clicks and feedback from error events on the same text, within a week."""
-    events = inp.event_comments(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    decisions = mod.moderate(events.filter("event_type = 'click'")).select(
-        "comment_id", "ts", tx.text_hash("text").alias("text_hash"), "predicted_action"
-    )
-    feedback = events.filter("event_type = 'error'").select(
-        F.col("ts").alias("timestamp"), tx.text_hash("text").alias("text_hash"),
-        inp._pick(fv.ACTIONS, F.col("client_id") % 3).alias("human_action"),
-    )
-    joined = live.stream_feedback_join(decisions, feedback, within="7 days")
-    return joined.groupBy("predicted_action", "human_action").agg(F.count("*").alias("n"))
+    """Every event's feedback with the decision it is about, from two streams that arrive in slices."""
+    logs = {"events": (_timed_events(spark, sf), "ts"), "feedback": (inp.feedback_log(spark, sf), "timestamp")}
+    return _attached(_replayed(spark, logs, lambda events, feedback: stateful.stream_feedback_join(
+        _hashed_decisions(events), feedback), "feedback"))
+
+
+@query
+def x06_attach_feedback(spark, sf):
+    """The same from the whole logs."""
+    return _attached(fb.attach_feedback(_hashed_decisions(_timed_events(spark, sf)), inp.feedback_log(spark, sf)))
 
 
 @query

@@ -1,15 +1,9 @@
 """The same decisions on streams."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import StructType
 
 from commentguard import fixed_values as fv
-from commentguard.functions import text as tx
 from commentguard.operators.moderation import moderate
 from commentguard.sources.tables import audit_rows
 
@@ -19,41 +13,6 @@ def moderate_stream(stream: DataFrame, **options) -> DataFrame:
     return moderate(stream, **options)
 
 
-def dedupe_stream(stream: DataFrame, ts: str = "ts", ttl_seconds: int = fv.CACHE_TTL_SECONDS, order: str = "comment_id") -> DataFrame:
-    """Drop repeats of a text in the same context within the time to live, which counts from the write.
-
-    The state of a key is the second of its last write.  The events of a key in
-    a micro-batch are taken in time order, equal seconds by ``order``; one that
-    comes after the last write has run out is kept and is the next write.  The
-    state goes when the watermark has passed that time.  Rows without a time
-    are repeats of nothing and stay.
-    """
-    keyed = stream.withColumn("cache_key", tx.cache_key("text", "context_type")).withColumn("_second", F.unix_timestamp(ts))
-    names = [f.name for f in keyed.schema if f.name != "_second"]
-    schema = StructType([f for f in keyed.schema if f.name != "_second"])
-
-    def first_of(key, batches, state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(batches).sort_values(["_second", order], kind="stable")
-        written, kept = state.get[0] if state.exists else None, []
-        for second in rows["_second"]:
-            fresh = pd.isna(second) or written is None or second >= written + ttl_seconds
-            kept.append(fresh)
-            if fresh and not pd.isna(second):
-                written = int(second)
-        if written is not None:
-            state.update((written,))
-            ends = 1000 * (written + ttl_seconds)
-            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        if any(kept):
-            yield rows[pd.array(kept, dtype=bool).to_numpy()][names]
-
-    grouped = keyed.withWatermark(ts, f"{ttl_seconds} seconds").groupBy("cache_key")
-    return grouped.applyInPandasWithState(first_of, schema, "written long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def route_batch(decided: DataFrame, batch_id: int, root: str) -> None:
     """Write a micro-batch to its sinks: every decision, the audit of those not
     allowed, and the comments waiting for review.
@@ -85,23 +44,3 @@ def start_routing(stream: DataFrame, root: str, checkpoint: str, **trigger) -> S
 def latest_view(spark: SparkSession, root: str, n: int = fv.REVIEW_QUEUE_SIZE) -> DataFrame:
     """The newest comments of the review sink."""
     return spark.read.parquet(f"{root}/review").orderBy(F.desc("ts"), F.desc("comment_id")).limit(n)
-
-
-def stream_feedback_join(
-    decisions: DataFrame, feedback: DataFrame, ts: str = "ts", watermark: str = "1 hour",
-    within: str = "7 days",
-) -> DataFrame:
-    """Decisions with the feedback given on their text within a span of time.
-
-    ``decisions`` has text_hash, predicted_action and ts; ``feedback`` text_hash,
-    human_action and timestamp.  Both sides are watermarked, which bounds the
-    state.
-    """
-    left = decisions.withWatermark(ts, watermark).alias("d")
-    right = feedback.withWatermark("timestamp", watermark).alias("f")
-    near = F.expr(
-        f"d.text_hash = f.text_hash AND f.timestamp >= d.{ts} AND f.timestamp <= d.{ts} + INTERVAL {within}"
-    )
-    return left.join(right, near).select(
-        "d.*", F.col("f.human_action"), F.col("f.timestamp").alias("feedback_ts")
-    )

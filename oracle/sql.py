@@ -706,9 +706,13 @@ ORACLES["x04_sliding_decisions"] = decided(EVENTS, f"""SELECT {_STAMP.format('s'
   (SELECT predicted_action, {_HALF} AS s FROM d UNION ALL SELECT predicted_action, {_HALF} - INTERVAL 30 MINUTE FROM d) GROUP BY ALL""")
 ORACLES["x05_rate_limit_report"] = f"""SELECT {_STAMP.format("date_trunc('day', ts)")} AS start, user_id AS client_id, count(*) AS n
 FROM events GROUP BY ALL HAVING count(*) > 4"""
-ORACLES["x06_stream_feedback_join"] = decided(EVENTS, f"""SELECT c.predicted_action, {pick(fv.ACTIONS, 'f.client_id % 3')} AS human_action, count(*) AS n
-FROM d c JOIN d f ON c.text = f.text AND f.ts >= c.ts AND f.ts <= c.ts + INTERVAL 7 DAY
-WHERE c.event_type = 'click' AND f.event_type = 'error' GROUP BY ALL""")
+for _name in ("x06_stream_feedback_join", "x06_attach_feedback"):
+    ORACLES[_name] = decided(EVENTS, f"""SELECT f.comment_id AS feedback_id, CASE WHEN f.at - m.ts <= INTERVAL 7 DAY THEN m.comment_id END AS comment_id,
+  {pick(fv.ACTIONS, 'f.client_id % 3')} AS human_action, CASE WHEN f.at - m.ts <= INTERVAL 7 DAY THEN m.predicted_action END AS predicted_action,
+  CASE WHEN f.at - m.ts <= INTERVAL 7 DAY THEN epoch_us(f.at) - epoch_us(m.ts) END AS lag_us
+FROM f ASOF LEFT JOIN m ON f.text = m.text AND f.at >= m.ts""", """,
+m AS (SELECT text, ts, max(comment_id) AS comment_id, arg_max(predicted_action, comment_id) AS predicted_action FROM d GROUP BY text, ts),
+f AS (SELECT *, ts + to_minutes(comment_id % 97) AS at FROM d)""")
 ORACLES["u01_register_scorer"] = decided(
     f"SELECT * REPLACE (length(text)::DOUBLE / (length(text) + 100) AS given) FROM ({DOCS})",
     "SELECT comment_id, model_toxicity_score, predicted_action, risk_score FROM d",

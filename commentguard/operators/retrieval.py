@@ -4,9 +4,13 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Rules of one literal.  Policy rules are written by people; a table of any size
-# becomes several literals, whose winners are merged in the same projection.
-RULES_PER_BLOCK = 500
+from commentguard.operators.nearest import nearest_rules
+from commentguard.operators.ranks import salted_join
+
+# Rules that become literals of the plan, so many in each.  A larger table stays
+# a table and is searched by ``nearest_rules``, with the same result; only a
+# stream takes all rules as literals.
+RULES_PER_BLOCK, LITERAL_RULES = 500, 500
 
 _RULE_LITERAL = T.ArrayType(T.StructType([
     T.StructField("id", T.StringType()),
@@ -72,6 +76,8 @@ def with_nearest_rules(
     test = F.col(embedding).isNotNull()
     if only_if is not None:
         test = test & only_if
+    if not df.isStreaming and is_table(rules):
+        return _with_table_rules(df, rules, k, max_distance, embedding, out, test)
     blocks = [_nearest(F.col(embedding), block, k) for block in literal_rules(rules)]
     best = F.lit(None)
     if blocks:
@@ -84,11 +90,37 @@ def with_nearest_rules(
     return out_df.withColumn(out, F.coalesce(within, none)).drop("_nearest")
 
 
+def is_table(rules: DataFrame) -> bool:
+    """Whether there are more rules than become literals."""
+    return len(rules.select("id").take(LITERAL_RULES + 1)) > LITERAL_RULES
+
+
+def _with_table_rules(
+    df: DataFrame, rules: DataFrame, k: int, max_distance: float, embedding: str, out: str, test: Column
+) -> DataFrame:
+    """Each distinct vector is searched once, whatever ``test`` says of its rows, and its rules are joined back.
+
+    So the search needs nothing but the vectors of ``df``, however much work its other columns are.
+    """
+    own = F.sha2(F.array_join(F.col(embedding).cast("array<double>").cast("array<string>"), ","), 256)
+    keyed = df.withColumn("_vector", own)
+    distinct = df.select(own.alias("_vector"), embedding).where(F.col(embedding).isNotNull()).groupBy("_vector").agg(F.first(embedding).alias("embedding"))
+    found = nearest_rules(distinct, rules, k, max_distance, "_vector")
+    listed = F.sort_array(F.collect_list(F.struct("distance", "id", "action", "category", "severity")))
+    lists = found.groupBy("_vector").agg(listed.alias("_found"))
+    joined = salted_join(keyed, lists, "_vector", df.columns[:1], "left")
+    none = F.expr("cast(array() as array<struct<distance:double,id:string,action:string,category:string,severity:string>>)")
+    return joined.withColumn(out, F.coalesce(F.when(test, F.col("_found")), none)).drop("_vector", "_found")
+
+
 def retrieve_rules(
     queries: DataFrame, rules: DataFrame, k: int = 5, max_distance: float = 1.2,
     embedding: str = "embedding", key: str = "comment_id",
 ) -> DataFrame:
     """(key, rank, rule_id, distance) rows of the nearest rules."""
+    if not queries.isStreaming and is_table(rules):
+        best = nearest_rules(queries.select(key, F.col(embedding).alias("embedding")), rules, k, max_distance, key)
+        return best.select(key, "rank", F.col("id").alias("rule_id"), "distance")
     found = with_nearest_rules(queries, rules, k, max_distance, embedding, "_found")
     return found.select(key, F.posexplode("_found").alias("_pos", "_rule")).select(
         key, (F.col("_pos") + 1).alias("rank"), F.col("_rule.id").alias("rule_id"),

@@ -7,8 +7,8 @@ from commentguard.functions import decision as dc
 from commentguard.functions import text as tx
 from commentguard.functions.numeric import round_nearest
 from commentguard.operators import (
-    dataset as ds, evaluation as ev, feedback as fb, feeds, lexicon as lx, metrics as mt,
-    moderation as mod, quality as ql, ranking as rk, retrieval as rt, scoring as sc, training as tr,
+    dataset as ds, evaluation as ev, feedback as fb, feeds, lexicon as lx, lexicon_join as lj, metrics as mt,
+    moderation as mod, nearest as nn, quality as ql, ranking as rk, retrieval as rt, scoring as sc, training as tr,
 )
 from commentguard.operators.normalize import with_normalized
 from commentguard.plans import inputs as inp
@@ -152,6 +152,12 @@ def m01_lexicon_buckets(spark, sf):
 
 @query
 def m02_match_lexicon_join(spark, sf):
+    matches = lj.join_lexicon(_text_frame(spark, sf), lx.build_lexicon(spark))
+    return matches.groupBy("list", "phrase").agg(F.count("*").alias("n_comments"))
+
+
+@query
+def m02_match_lexicon_scan(spark, sf):
     matches = lx.match_lexicon(_text_frame(spark, sf), lx.build_lexicon(spark))
     return matches.groupBy("list", "phrase").agg(F.count("*").alias("n_comments"))
 
@@ -302,6 +308,17 @@ def m20_retrieve_rules(spark, sf):
     return found.select("comment_id", "rank", "rule_id", F.round("distance", 5).alias("distance"))
 
 
+@query
+def m20_nearest_in_table(spark, sf):
+    """The nearest rules of every vector in a rule table that has a rule for each vector."""
+    vectors = inp.table(spark, sf, "embeddings")
+    rules = vectors.select(
+        F.concat(F.lit("rule_"), "vec_id").alias("id"), *[F.lit("allow").alias(c) for c in ("action", "category", "severity")], "embedding"
+    )
+    found = nn.nearest_rules(vectors.withColumnRenamed("vec_id", "comment_id"), rules, 3, 1.9, "comment_id")
+    return found.select("comment_id", "rank", F.col("id").alias("rule_id"), F.round("distance", 5).alias("distance"))
+
+
 @query
 def m21_rule_override(spark, sf):
     decided = mod.moderate(inp.embedded_comments(spark, sf), rules=inp.class_rules(spark, sf))

@@ -373,6 +373,7 @@ b AS (SELECT list, first, count(*) FILTER (is_phrase) AS n_phrases FROM lex GROU
 t AS (SELECT tok, count(*) AS c FROM src JOIN words USING (text) GROUP BY ALL)
 SELECT list, first, n_phrases, c AS n_comments FROM b JOIN t ON tok = first"""
 ORACLES["m02_match_lexicon_join"] = f"{_MATCHED}, {_ALL_HITS}\nSELECT list, phrase, count(*) AS n_comments FROM allhits GROUP BY ALL"
+ORACLES["m02_match_lexicon_scan"] = ORACLES["m02_match_lexicon_join"]
 ORACLES["m02_match_lexicon_expressions"] = f"""{_MATCHED}
 SELECT src, {', '.join(f'count(*) FILTER ("{s}") AS {s if s != "user" else chr(34) + "user" + chr(34)}' for s in SIGNALS)}
 FROM src JOIN sig USING (text) GROUP BY src"""
@@ -431,6 +432,10 @@ x AS (SELECT vec_id, id, {_DIST.format(a='e.embedding', b='v')} AS distance FROM
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, id) AS rank FROM x)
 SELECT vec_id AS comment_id, CAST(rank AS INT) AS rank, id AS rule_id, round(distance, 5) AS distance FROM r
 WHERE rank <= 3 AND distance <= 1.2"""
+ORACLES["m20_nearest_in_table"] = f"""WITH x AS (SELECT q.vec_id, 'rule_' || r.vec_id AS id, {_DIST.format(a='q.embedding', b='CAST(r.embedding AS DOUBLE[])')} AS distance
+  FROM embeddings q, embeddings r),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, id) AS rank FROM x)
+SELECT vec_id AS comment_id, CAST(rank AS INT) AS rank, id AS rule_id, round(distance, 5) AS distance FROM r WHERE rank <= 3 AND distance <= 1.9"""
 ORACLES["m21_rule_override"] = f"""WITH {_CLASS_RULES}, {decision_ctes(DOCS)},
 x AS (SELECT vec_id, r.*, {_DIST.format(a='e.embedding', b='v')} AS distance FROM embeddings e, rules r),
 top AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, id) = 1),

@@ -60,9 +60,9 @@ def join_lexicon(df: DataFrame, lexicon: DataFrame, key: str = "comment_id") ->
     longest = index.select(F.explode("entries").alias("e")).agg(F.max(F.size(F.split("e.phrase", " ")))).first()[0] or 1
     rows = df.where("tokens is not null and normalized_text is not null").select(F.col(key).alias("key"), "tokens")
     rows = written(rows, "lexicon-tokens")  # normalised once, read three times
-    words = rows.select("key", F.explode(F.array_distinct("tokens")).alias("first")).distinct()
+    words = rows.select("key", F.explode(F.array_distinct("tokens")).alias("first"))
     hits = salted_join(words, index.select("first").distinct(), "first", ["key"])
-    hits = hits.groupBy(F.col("key").alias("_key")).agg(F.collect_list("first").alias("wanted"))
+    hits = hits.groupBy(F.col("key").alias("_key")).agg(F.collect_set("first").alias("wanted"))
     found = rows.join(hits, F.col("key").eqNullSafe(F.col("_key")))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,6 +170,26 @@ def windowed_decisions(
     )
 
 
+def session_decisions(
+    decided: DataFrame, client: str = "client_id", ts: str = "ts", gap: str = "30 minutes", watermark: str | None = None,
+) -> DataFrame:
+    """Decisions of each client's sessions, which end when nothing comes for ``gap``; on a stream, give a watermark.
+
+    ``end`` is the last request's time and the gap.
+    """
+    if watermark is not None:
+        decided = decided.withWatermark(ts, watermark)
+    return (
+        decided.groupBy(F.session_window(ts, gap).alias("w"), client)
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col("predicted_action") != "allow").alias("n_flagged"),
+            F.max("latency_s").alias("max_latency_s"),
+        )
+        .select("w.start", "w.end", client, "n", "n_flagged", "max_latency_s")
+    )
+
+
 def rate_limit_report(
     df: DataFrame, client: str = "client_id", ts: str = "ts", limit: int = fv.RATE_LIMIT_SINGLE,
     width: str = "1 minute", watermark: str | None = None,
@@ -183,3 +203,29 @@ def rate_limit_report(
         .filter(F.col("n") > limit)
         .select("w.start", client, "n")
     )
+
+
+def sliding_rate_report(
+    df: DataFrame, client: str = "client_id", ts: str = "ts", key: str = "comment_id", limit: int = fv.RATE_LIMIT_SINGLE,
+    seconds: int = 60, slices: int | None = None,
+) -> DataFrame:
+    """The requests over the limit: those that find ``limit`` or more of their client's in the ``seconds`` before.
+
+    Returns (client, key, ts, n) with n the client's requests in the span that
+    ends with this one; requests of one instant count together.  A client's time
+    is cut into slices, and each slice also reads the span before it, so that a
+    client with a third of all rows spreads over tasks: it is not shorter than
+    the span, so a request is read twice at most.
+    """
+    slices = slices or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.unix_micros(F.col(ts).cast("timestamp_ltz"))
+    rows = df.where(F.col(ts).isNotNull()).select(client, key, ts, at.alias("_at"))
+    lo, hi = rows.agg(F.min("_at"), F.max("_at")).first()
+    span = seconds * 1_000_000
+    width = max(span, -(-((hi or 0) - (lo or 0) + 1) // slices))
+    own = F.floor((F.col("_at") - F.lit(lo or 0)) / width)
+    following = F.floor((F.col("_at") + span - 1 - F.lit(lo or 0)) / width)  # the slice that the span behind a request reaches
+    cut = rows.withColumn("_own", own).withColumn("_slice", F.explode(F.array_distinct(F.array(own, following))))
+    window = Window.partitionBy(client, "_slice").orderBy("_at").rangeBetween(1 - span, 0)
+    counted = cut.withColumn("n", F.count("*").over(window)).where((F.col("_own") == F.col("_slice")) & (F.col("n") > limit))
+    return counted.select(client, key, ts, "n")

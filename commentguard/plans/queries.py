@@ -925,6 +925,13 @@ def _replayed(spark, logs: dict[str, tuple[DataFrame, str]], build, name: str, s
     what has come, as a job does that runs by the hour.
     """
     root = shared_path(spark, name)
+    for streams in _arriving(spark, logs, root, slices):
+        out = _run_to_parquet(spark, build(**streams), f"{root}/out")
+    return out
+
+
+def _arriving(spark, logs: dict[str, tuple[DataFrame, str]], root: str, slices: int = 3):
+    """The logs as streams, once after each slice of time has been added to them."""
     edges = [table.agg(F.min(ts).cast("timestamp_ltz"), F.max(ts).cast("timestamp_ltz")).first() for table, ts in logs.values()]
     edges = [x for x in edges if x[0] is not None]
     for k in range(slices):
@@ -936,9 +943,7 @@ def _replayed(spark, logs: dict[str, tuple[DataFrame, str]], build, name: str, s
                 seconds = (F.unix_micros(F.col(ts).cast("timestamp_ltz")) - F.unix_micros(F.lit(lo))) / 1e6
                 number = F.coalesce(F.floor(seconds * slices / span), F.lit(0))
             table.where(number == k).write.mode("append").parquet(f"{root}/{log}")
-        streams = {log: spark.readStream.schema(table.schema).parquet(f"{root}/{log}") for log, (table, _) in logs.items()}
-        out = _run_to_parquet(spark, build(**streams), f"{root}/out")
-    return out
+        yield {log: spark.readStream.schema(table.schema).parquet(f"{root}/{log}") for log, (table, _) in logs.items()}
 
 
 @query
@@ -959,6 +964,15 @@ def x02_route_batches(spark, sf):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+@query
+def x02_review_queue_state(spark, sf):
+    """The newest comments for review, kept as state over three runs of a stream."""
+    root = shared_path(spark, "queue")
+    for streams in _arriving(spark, {"events": (_timed_events(spark, sf), "ts")}, root):
+        live.start_queue(streams["events"], root, f"{root}/checkpoint", availableNow=True).awaitTermination()
+    return live.current_queue(spark, root).select("comment_id", "predicted_action")
+
+
 @query
 def x03_dedupe_stream(spark, sf):
     return _deduped(spark, sf, fv.CACHE_TTL_SECONDS)
@@ -994,6 +1008,55 @@ def x04_sliding_decisions(spark, sf):
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "predicted_action", "n")
 
 
+def _stamp(column):
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
+
+
+@query
+def x04_stream_windows(spark, sf):
+    """The windows that a stream has closed, after three runs with a watermark of ten minutes."""
+    def build(events):
+        return mt.windowed_decisions(mod.moderate(events, fields=["predicted_action"]), width="1 hour", watermark="10 minutes")
+
+    out = _replayed(spark, {"events": (_timed_events(spark, sf), "ts")}, build, "windows")
+    return out.select(_stamp("start"), "predicted_action", "n", F.round(F.col("avg_latency_s") * F.col("n"), 4).alias("sum_latency_s"), "max_latency_s")
+
+
+@query
+def x04_stream_sessions(spark, sf):
+    """The clients' sessions that a stream has closed."""
+    def build(events):
+        return mt.session_decisions(mod.moderate(events, fields=["predicted_action"]), watermark="10 minutes")
+
+    out = _replayed(spark, {"events": (_timed_events(spark, sf), "ts")}, build, "sessions")
+    return out.select(_stamp("start"), _stamp("end"), "client_id", "n", "n_flagged", "max_latency_s")
+
+
+@query
+def x04_session_decisions(spark, sf):
+    out = mt.session_decisions(mod.moderate(_timed_events(spark, sf), fields=["predicted_action"]))
+    return out.select(_stamp("start"), _stamp("end"), "client_id", "n", "n_flagged", "max_latency_s")
+
+
+@query
+def x05_sliding_rates_batch(spark, sf):
+    """Requests beyond ten of their client in a minute, the limit of batch calls."""
+    out = mt.sliding_rate_report(_timed_events(spark, sf), limit=fv.RATE_LIMIT_BATCH, seconds=60)
+    return out.select("client_id", "comment_id", "n")
+
+
+@query
+def x05_rate_limit_single(spark, sf):
+    out = mt.rate_limit_report(_timed_events(spark, sf), limit=fv.RATE_LIMIT_SINGLE, width="1 minute")
+    return out.select(_stamp("start"), "client_id", "n")
+
+
+@query
+def x05_sliding_rates_day(spark, sf):
+    """Requests beyond four of their client in the day before."""
+    return mt.sliding_rate_report(_timed_events(spark, sf), limit=4, seconds=86_400).select("client_id", "comment_id", "n")
+
+
 @query
 def x05_rate_limit_report(spark, sf):
     out = mt.rate_limit_report(inp.event_comments(spark, sf), limit=4, width="1 day")

@@ -44,3 +44,42 @@ def start_routing(stream: DataFrame, root: str, checkpoint: str, **trigger) -> S
 def latest_view(spark: SparkSession, root: str, n: int = fv.REVIEW_QUEUE_SIZE) -> DataFrame:
     """The newest comments of the review sink."""
     return spark.read.parquet(f"{root}/review").orderBy(F.desc("ts"), F.desc("comment_id")).limit(n)
+
+
+def queue_versions(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of the queue's versions, oldest first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/queue")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and files.exists(
+        spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/queue/{n}/_SUCCESS")))
+
+
+def advance_queue(batch: DataFrame, batch_id: int, root: str, n: int = fv.REVIEW_QUEUE_SIZE) -> None:
+    """The queue of the newest ``n`` comments for review, after a micro-batch.
+
+    The state is one table of at most ``n`` rows for each micro-batch, made of
+    the one before and the newest of the batch, of which each task keeps ``n``.
+    A micro-batch that is repeated starts from the version before it again and
+    leaves the same; only the last two versions stay.
+    """
+    spark, newest = batch.sparkSession, [F.desc("ts"), F.desc("comment_id")]
+    waiting = batch.where(F.col("predicted_action") == "flag_for_review").orderBy(*newest).limit(n)
+    before = [v for v in queue_versions(spark, root) if v < batch_id]
+    if before:
+        waiting = waiting.unionByName(spark.read.schema(batch.schema).parquet(f"{root}/queue/version={before[-1]}"))
+    waiting.orderBy(*newest).limit(n).write.mode("overwrite").parquet(f"{root}/queue/version={batch_id}")
+    for old in before[:-1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/queue/version={old}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def start_queue(stream: DataFrame, root: str, checkpoint: str, n: int = fv.REVIEW_QUEUE_SIZE, **trigger) -> StreamingQuery:
+    """Moderate a stream and keep the queue of its newest comments for review below ``root``."""
+    writer = moderate_stream(stream).writeStream.foreachBatch(lambda batch, batch_id: advance_queue(batch, batch_id, root, n))
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def current_queue(spark: SparkSession, root: str) -> DataFrame:
+    """The queue as the last complete micro-batch left it."""
+    return spark.read.parquet(f"{root}/queue/version={queue_versions(spark, root)[-1]}")

@@ -703,12 +703,29 @@ SELECT "check", n_rows, CASE WHEN n_rows = 0 THEN 'pass' ELSE 'fail' END AS stat
 ORACLES["x02_route_batches"] = decided(EVENTS, """SELECT 'decisions' AS sink, predicted_action AS action, count(*) AS n FROM d GROUP BY ALL
 UNION ALL SELECT 'audit', predicted_action, count(*) FROM d WHERE predicted_action <> 'allow' GROUP BY ALL
 UNION ALL SELECT 'review', predicted_action, count(*) FROM d WHERE predicted_action = 'flag_for_review' GROUP BY ALL""")
+ORACLES["x02_review_queue_state"] = ORACLES["r04_latest_review_items"]
 _STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 ORACLES["x04_windowed_decisions"] = decided(EVENTS, f"""SELECT {_STAMP.format("date_trunc('hour', ts)")} AS start, predicted_action, count(*) AS n,
   round(sum(latency_s), 4) AS sum_latency_s, max(latency_s) AS max_latency_s FROM d GROUP BY ALL""")
 _HALF = "time_bucket(INTERVAL 30 MINUTE, ts)"
 ORACLES["x04_sliding_decisions"] = decided(EVENTS, f"""SELECT {_STAMP.format('s')} AS start, predicted_action, count(*) AS n FROM
   (SELECT predicted_action, {_HALF} AS s FROM d UNION ALL SELECT predicted_action, {_HALF} - INTERVAL 30 MINUTE FROM d) GROUP BY ALL""")
+_MICROS = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
+_MARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)"
+ORACLES["x04_stream_windows"] = decided(EVENTS, f"""SELECT {_MICROS.format("date_trunc('hour', ts)")} AS start, predicted_action, count(*) AS n,
+  round(sum(latency_s), 4) AS sum_latency_s, max(latency_s) AS max_latency_s FROM d
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_MARK} GROUP BY ALL""")
+for _name, _closed in (("x04_session_decisions", ""), ("x04_stream_sessions", f'HAVING max(ts) + INTERVAL 30 MINUTE <= {_MARK}')):
+    ORACLES[_name] = decided(EVENTS, f"""SELECT {_MICROS.format('min(ts)')} AS start, {_MICROS.format('max(ts) + INTERVAL 30 MINUTE')} AS "end",
+  client_id, count(*) AS n, count(*) FILTER (predicted_action <> 'allow') AS n_flagged, max(latency_s) AS max_latency_s
+FROM (SELECT *, sum(fresh) OVER (PARTITION BY client_id ORDER BY ts, comment_id) AS session
+  FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY client_id ORDER BY ts, comment_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM d))
+GROUP BY client_id, session {_closed}""")
+for _name, _limit, _span in (("x05_sliding_rates_batch", fv.RATE_LIMIT_BATCH, 60), ("x05_sliding_rates_day", 4, 86_400)):
+    ORACLES[_name] = f"""SELECT user_id AS client_id, event_id AS comment_id, n FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)
+  RANGE BETWEEN {_span * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n > {_limit}"""
+ORACLES["x05_rate_limit_single"] = f"""SELECT {_MICROS.format("date_trunc('minute', ts)")} AS start, user_id AS client_id, count(*) AS n
+FROM events GROUP BY ALL HAVING count(*) > {fv.RATE_LIMIT_SINGLE}"""
 ORACLES["x05_rate_limit_report"] = f"""SELECT {_STAMP.format("date_trunc('day', ts)")} AS start, user_id AS client_id, count(*) AS n
 FROM events GROUP BY ALL HAVING count(*) > 4"""
 for _name in ("x06_stream_feedback_join", "x06_attach_feedback"):

@@ -6,8 +6,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from commentguard.operators import feedback as fb
-from commentguard.streaming import stateful
+from commentguard.operators import feedback as fb, metrics as mt
+from commentguard.streaming import live, stateful
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 DECISIONS = "text_hash string, comment_id long, predicted_action string, s long"
@@ -114,3 +114,43 @@ def test_repeats_over_micro_batches(spark, tmp_path):
             stream = spark.readStream.schema(frame.schema).parquet(path)
             out = run(spark, stateful.dedupe_stream(stream, ttl_seconds=500), f"{path}-out")
         assert sorted(r.comment_id for r in out.collect()) == sorted(kept)
+
+
+EVENT = "comment_id long, client_id long, predicted_action string, latency_s double, s long"
+
+
+def test_closed_windows_drop_late_rows_and_resume(spark, tmp_path):
+    path = str(tmp_path / "in")
+    arrivals = [[(1, 1, "allow", 0.1, 10), (2, 1, "allow", 0.3, 3000)], [(3, 1, "allow", 0.2, 3590), (4, 2, "allow", 0.5, 9000)], [(5, 1, "allow", 9.0, 20), (6, 2, "allow", 0.1, 20_000)]]
+    for rows in arrivals:  # the last brings row 5, behind the watermark
+        arrive(at(spark.createDataFrame(rows, EVENT), "ts"), path)
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        windows = run(spark, mt.windowed_decisions(stream, width="1 hour", watermark="10 minutes"), str(tmp_path / "windows"))
+        sessions = run(spark, mt.session_decisions(stream, watermark="10 minutes"), str(tmp_path / "sessions"))
+    seconds = lambda t: int(t.replace(tzinfo=timezone.utc).timestamp() - START.timestamp())
+    assert sorted((seconds(r.start), r.n, r.max_latency_s) for r in windows.collect()) == [(0, 3, 0.3), (7200, 1, 0.5)]
+    assert sorted((seconds(r.start), seconds(r.end), r.client_id, r.n) for r in sessions.collect()) == [(10, 1810, 1, 1), (3000, 5390, 1, 2), (9000, 10_800, 2, 1)]
+
+
+@pytest.mark.parametrize("slices", [1, 5, 64])
+def test_sliding_rates_equal_plain_counts(spark, slices):
+    rng = random.Random(slices)
+    rows = [(k, rng.choice([1, 1, 1, 2, 3]), "allow", 0.1, rng.randrange(900)) for k in range(500)] + [(600, 1, "allow", 0.1, None)]
+    got = mt.sliding_rate_report(at(spark.createDataFrame(rows, EVENT), "ts"), limit=6, seconds=30, slices=slices).collect()
+    want = [(c, k, n) for k, c, _, _, s in rows if s is not None and (n := sum(o[1] == c and o[4] is not None and s - 30 < o[4] <= s for o in rows)) > 6]
+    assert sorted((r.client_id, r.comment_id, r.n) for r in got) == sorted(want)
+    assert mt.sliding_rate_report(at(spark.createDataFrame([], EVENT), "ts")).count() == 0
+
+
+def test_queue_survives_replays(spark, tmp_path):
+    rng, root = random.Random(1), str(tmp_path / "q")
+    rows = [(k, 1, rng.choice(["allow", "flag_for_review"]), 0.1, rng.randrange(100)) for k in range(300)]
+    for batch_id, start in enumerate((0, 100, 200)):
+        batch = at(spark.createDataFrame(rows[start : start + 100], EVENT), "ts")
+        for _ in range(2):
+            live.advance_queue(batch, batch_id, root, n=20)
+    want = sorted(((r[4], r[0]) for r in rows if r[2] == "flag_for_review"), reverse=True)[:20]
+    assert sorted(r.comment_id for r in live.current_queue(spark, root).collect()) == sorted(k for _, k in want)
+    assert live.queue_versions(spark, root) == [1, 2]
+    live.advance_queue(batch.limit(0), 3, root, n=20)
+    assert live.current_queue(spark, root).count() == 20

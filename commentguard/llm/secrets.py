@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from commentguard.llm.quality_rules import bound
@@ -22,7 +24,11 @@ ALLOWED = (
 )
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SPAN = "array<struct<start:int,kind:string,end:int>>"
-NONE = f"cast(array() as {SPAN})"
+_FOUND = "array<struct<start:int,end:int,value:string>>"
+#: Elements of an array that are folded into another, or compared with another's, at once.
+PART = 256
+#: Windows of a long candidate that are looked at in one piece.
+PIECE = 512
 
 
 def found(text: Column, pattern: str, kind: str) -> Column:
@@ -31,52 +37,73 @@ def found(text: Column, pattern: str, kind: str) -> Column:
     The places follow from the lengths of what the matches leave between them.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
+    pairs = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gaps"), matches.alias("matches")), lambda p: p["matches"].isNotNull())
+
+    def located(all_pairs: Column) -> Column:
+        def reach(p: Column) -> Column:
+            return F.length(p["gaps"]) + F.length(p["matches"])
+
+        # A fold that adds to an array copies it at each step, so it goes over parts, and over the parts' lengths.
+        parts = F.transform(numbers_of_parts(all_pairs), lambda k: F.slice(all_pairs, k * PART + 1, PART))
+        lengths = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda n, p: n + reach(p)))
+        heads = F.aggregate(lengths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+
+        def of_part(part: Column, head: Column) -> Column:
+            def step(s: Column, p: Column) -> Column:
+                begin, end = s["at"] + F.length(p["gaps"]), s["at"] + reach(p)
+                one = F.array(F.struct(begin.alias("start"), end.alias("end"), p["matches"].alias("value")))
+                return F.struct(end.alias("at"), F.concat(s["out"], one).alias("out"))
+
+            start = F.struct(head.alias("at"), F.expr(f"cast(array() as {_FOUND})").alias("out"))
+            return F.aggregate(part, start, step, lambda s: s["out"])
+
+        return F.flatten(F.zip_with(parts, F.slice(heads, 1, F.size(parts)), of_part))
+
+    return F.when(text.rlike(pattern), bound(pairs, located)).otherwise(F.expr(f"cast(array() as {_FOUND})"))
 
-    def step(s: Column, pair: Column) -> Column:
-        begin = s["at"] + F.length(pair["gaps"])
-        end = begin + F.length(pair["matches"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), pair["matches"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(s["out"], one).alias("out"))
 
-    zipped = F.filter(F.arrays_zip(gaps.alias("gaps"), matches.alias("matches")), lambda p: p["matches"].isNotNull())
-    located = F.aggregate(zipped, start, step, lambda s: s["out"])
-    nothing = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    return F.when(text.rlike(pattern), located).otherwise(nothing)
+def numbers_of_parts(values: Column) -> Column:
+    """The numbers, from 0, of an array's parts of ``PART`` elements; there is one at least."""
+    return F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / PART), F.lit(1)).cast("int") - 1)
 
 
 def highest_entropy(value: Column) -> Column:
     """The most bits a character of any window of ``WINDOW`` characters.
 
-    Counts go from one window to the next by the character that enters and the
-    one that leaves; sum(c log2 c) moves with them, and the entropy is
-    log2(n) - sum / n.
+    sum(c log2 c) over the characters' counts goes from one window to the next by
+    the character that leaves and the one that enters: only their two counts
+    change.  The entropy is log2(n) - sum / n.  A step costs the window, whatever
+    the string's length.
     """
-    def weight(c: Column) -> Column:
-        return F.when(c > 1, c * F.log2(c)).otherwise(0.0)
+    weights = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 2)]
+    # What the sum changes by when a character that is there c times leaves, and when it enters.
+    leaving = F.array(F.lit(0.0), *[F.lit(weights[c - 1] - weights[c]) for c in range(1, WINDOW + 1)])
+    entering = F.array(*[F.lit(weights[c + 1] - weights[c]) for c in range(WINDOW + 1)])
 
-    zero = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"),
-    )
+    def best_of(piece: Column) -> Column:
+        def count(first: Column, n: Column, letter: Column) -> Column:
+            return n - F.length(F.replace(F.substring(piece, first, n), letter, F.lit("")))
 
-    def place(i: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
+        def step(s: Column, i: Column) -> Column:
+            # One character leaves the window of the last WINDOW, then the new one enters.
+            first = F.greatest(i - WINDOW + 1, F.lit(1))
+            gone = F.when(i > WINDOW, count(i - WINDOW, F.lit(WINDOW), F.substring(piece, i - WINDOW, F.lit(1)))).otherwise(0)
+            known = count(first, i - first, F.substring(piece, i, F.lit(1)))
+            moved = s["sum"] + F.get(leaving, gone) + F.get(entering, known)
 
-    def step(s: Column, i: Column) -> Column:
-        enters = place(i)
-        leaves = F.when(i > WINDOW, place(i - WINDOW)).otherwise(-1)
-        c, d = F.get(s["counts"], enters), F.get(s["counts"], leaves)
-        moved = F.when(
-            enters == leaves, s["sum"]
-        ).otherwise(
-            s["sum"] + weight(c + 1) - weight(c) + F.when(leaves >= 0, weight(d - 1) - weight(d)).otherwise(0.0)
-        )
-        counts = F.transform(s["counts"], lambda n, k: n + (k == enters).cast("int") - (k == leaves).cast("int"))
-        bits = F.when(i >= WINDOW, F.log2(F.lit(float(WINDOW))) - moved / WINDOW).otherwise(0.0)
-        return F.struct(counts.alias("counts"), moved.alias("sum"), F.greatest(s["best"], bits).alias("best"))
+            def taken(total: Column) -> Column:
+                bits = F.when(i >= WINDOW, F.lit(math.log2(WINDOW)) - total / WINDOW).otherwise(0.0)
+                return F.struct(total.alias("sum"), F.greatest(s["best"], bits).alias("best"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda s: s["best"])
+            return bound(moved, taken)
+
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(piece)), zero, step, lambda s: s["best"])
+
+    # Pieces of a long string overlap by a window less one; in a short string a place is near its start.
+    n = F.greatest(F.ceil((F.length(value) - WINDOW + 1) / PIECE), F.lit(1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(value, k * PIECE + 1, F.lit(PIECE + WINDOW - 1)))
+    return F.array_max(F.transform(pieces, best_of))
 
 
 def _spans(matches: Column, kind: str) -> Column:
@@ -119,11 +146,24 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     with_base = docs.select("doc_id", text.alias("_text")).withColumns(base_spans(F.col("_text")))
     fixed = F.concat("assign", "access", "hex")
-    inside = lambda x: lambda f: (f["start"] <= x["start"]) & (x["end"] <= f["end"])
-    added = F.filter(entropy_spans(F.col("_text")), lambda x: ~F.exists(fixed, inside(x)))
+    added = without_inner(entropy_spans(F.col("_text")), fixed)
     return with_base.withColumn("entropy", added).select("doc_id", *KINDS)
 
 
+def without_inner(spans: Column, outer: Column) -> Column:
+    """The spans, in order, that lie in none of ``outer``; a part of them is compared only with what it touches."""
+    def kept(every: Column, known: Column) -> Column:
+        def of_part(part: Column) -> Column:
+            low, high = F.get(part, 0)["start"], F.element_at(part, -1)["end"]
+            near = F.filter(known, lambda f: (f["end"] > low) & (f["start"] < high))
+            return bound(near, lambda some: F.filter(part, lambda x: ~F.exists(some, lambda f: (f["start"] <= x["start"]) & (x["end"] <= f["end"]))))
+
+        parts = F.transform(numbers_of_parts(every), lambda k: F.slice(every, k * PART + 1, PART))
+        return F.when(F.size(every) > 0, F.flatten(F.transform(parts, of_part))).otherwise(every)
+
+    return bound(spans, lambda every: bound(outer, lambda known: kept(every, known)))
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, comma-joined."""
     order = F.transform(spans, lambda x: F.struct(

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 from commentguard.llm import queries
@@ -77,3 +79,18 @@ def test_nulls_repeats_and_an_empty_table(spark):
     docs = spark.createDataFrame([(None, "token=abcdef", "a"), (None, "token=abcdef", None)], "doc_id long, text string, hex string")
     assert [len(r.assign) for r in secret_spans(docs).collect()] == [1, 1]
     assert secret_spans(docs.limit(0)).count() == 0
+
+
+def test_long_candidates_and_many_matches_end_soon(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    image = "".join(rng.choices(letters, k=1_000_000))
+    many = " ".join(f"token={k:06d}ab AKIA{k:016d} " + "".join(rng.choices(letters, k=24)) for k in range(20_000))
+    low = "ab1" * 300_000
+    docs = spark.createDataFrame([(1, f"x {image} y"), (2, many), (3, low)], "doc_id long, text string")
+    started = time.time()
+    rows = {r.doc_id: r for r in secret_spans(docs.repartition(3)).collect()}
+    assert time.time() - started < 60
+    assert [(s.start, s.end) for s in rows[1].entropy] == [(2, 1_000_002)] and rows[3].entropy == []
+    assert [(s.start, s.end) for s in rows[2].assign] == [m.span() for m in re.finditer(r"token=\S+", many)]
+    assert [(s.start, s.end) for s in rows[2].access] == [m.span() for m in re.finditer(r"AKIA[A-Z0-9]{16,}", many)]

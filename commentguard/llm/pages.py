@@ -37,7 +37,7 @@ HEADER_WORDS = frozenset(["header", "topbar"])
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|template|noscript|textarea|select|svg|iframe|object|canvas|math|title)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-z][a-z0-9:-]*+)((?:[^>"']++|"[^"]{0,4000}+"|'[^']{0,4000}+'|["'])*+)>"""
+    r"""|<(/?)([a-z][a-z0-9:-]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>"""
     r"|<[!?][^>]*+>",
     re.I | re.S,
 )

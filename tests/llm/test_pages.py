@@ -99,3 +99,16 @@ def test_blocks_lose_only_their_shared_runs():
     assert main_texts(pages) == [words(f"own{k}x", 15) for k in range(2)]
     pages = [f"<article><p>{words(f'a{k}x', 30)} {shared} {words(f'b{k}x', 30)}</p></article>" for k in range(5)]
     assert main_texts(pages) == [f"{words(f'a{k}x', 30)} {words(f'b{k}x', 30)}" for k in range(5)]
+
+
+@pytest.mark.parametrize("size", [100, 5_000, 1_000_000])
+def test_attributes_of_any_length(size):
+    long = "x" * size
+    assert blocks_of(f'<p title="{long}>y">hello world</p>') == [(1, "hello world")]
+    assert blocks_of(f"<img src = '{long}>'><p>a</p>") == [(1, "a")]
+    assert blocks_of(f'<p title="{long}>open</p><p>next</p>') == [(1, "open"), (1, "next")]  # a quote that nothing closes
+
+
+def test_quotes_inside_unquoted_values():
+    assert blocks_of("<p data-a=it's>one</p><p>it's two</p>") == [(1, "one"), (1, "it's two")]
+    assert blocks_of("<p 'odd>one</p><p>two'</p>") == [(1, "one"), (1, "two'")]

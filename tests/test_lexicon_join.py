@@ -43,5 +43,9 @@ def test_a_million_phrases(spark):
         F.col("id").alias("comment_id"),
         F.array(F.lit("hot"), F.concat(F.lit("x"), i * 1500), F.concat(F.lit("w"), i % 5000), F.concat(F.lit("x"), i), F.lit("end")).alias("tokens"),
     ).withColumn("normalized_text", F.array_join("tokens", " "))
-    got = sorted(map(tuple, lj.join_lexicon(df, lexicon).collect()))
-    assert got == sorted(map(tuple, lx.match_lexicon(df, lexicon).collect())) and len(got) > 1000
+    want = []
+    for k in range(600):
+        for word, after in (("hot", f"x{k * 1500}"), (f"w{k % 5000}", f"x{k}")):
+            numbers = {int(after[1:n]) for n in range(2, len(after) + 1) if after[1:n] == str(int(after[1:n]))}
+            want += [(k, "severe", f"{word} x{j}") for j in numbers if j < 1_000_000 and word == ("hot" if j % 3 == 0 else f"w{j % 5000}")]
+    assert sorted(map(tuple, lj.join_lexicon(df, lexicon).collect())) == sorted(want) and len(want) > 1000

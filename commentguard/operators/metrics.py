@@ -66,6 +66,26 @@ def exact_percentiles(df: DataFrame, column: str, points: list[float]) -> DataFr
     return ranks.agg(*wanted).select(*shares)
 
 
+#: Size of a quantile sketch, and by how much of all values the rank of its quantiles may be off (99 % of the time).
+SKETCH_K, SKETCH_ERROR = 400, 0.01
+
+
+def latency_sketches(df: DataFrame, ts: str = "ts", seconds: str = "latency_s", width: str = "1 hour") -> DataFrame:
+    """start, n and a quantile sketch of the latencies of each span: a row of bounded size, whatever the requests."""
+    timed = df.where(F.col(seconds).isNotNull()).groupBy(F.window(ts, width).alias("w"))
+    sketch = F.kll_sketch_agg_double(F.col(seconds).cast("double"), SKETCH_K)
+    return timed.agg(F.count("*").alias("n"), sketch.alias("sketch")).select("w.start", "n", "sketch")
+
+
+def merged_latencies(sketches: DataFrame, width: str = "1 day", points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """start, n and the quantiles of longer spans, from the sketches alone: p50, p95, p99 for the usual points."""
+    merged = sketches.groupBy(F.window("start", width).alias("w")).agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch")
+    )
+    found = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"p{round(100 * p)}") for p in points]
+    return merged.select("w.start", "n", *found)
+
+
 def _beside(one: DataFrame, other: DataFrame) -> DataFrame:
     """Two tables of one row each as one row."""
     return one.withColumn("_row", F.lit(1)).join(other.withColumn("_row", F.lit(1)), "_row").drop("_row")

@@ -12,7 +12,7 @@ from commentguard.operators import (
 )
 from commentguard.operators.normalize import with_normalized
 from commentguard.plans import inputs as inp
-from commentguard.plans.shared import shared_path
+from commentguard.plans.shared import shared_path, written
 from commentguard.sources import tables as tb
 from commentguard.streaming import live, stateful
 
@@ -645,6 +645,22 @@ def a17_ops_summary(spark, sf):
     return out.select("n_requests", *[F.round(c, 6).alias(c) for c in out.columns if c != "n_requests"])
 
 
+@query
+def a17_latency_rollup(spark, sf):
+    """Days from the sketches of their hours: the requests, and whether each quantile's true rank is within the sketch's error."""
+    events = _timed_events(spark, sf)
+    days = written(mt.merged_latencies(mt.latency_sketches(events)), "latency-days")
+    rows = events.select(F.window("ts", "1 day")["start"].alias("start"), "latency_s").join(days, "start")
+
+    def right(name, p):
+        # The share of values below and up to the quantile: its rank lies between.
+        below, up_to = F.avg((F.col("latency_s") < F.col(name)).cast("double")), F.avg((F.col("latency_s") <= F.col(name)).cast("double"))
+        return ((below - 2 * mt.SKETCH_ERROR <= p) & (up_to + 2 * mt.SKETCH_ERROR >= p)).alias(f"{name}_right")
+
+    judged = rows.groupBy("start", F.col("n").alias("n_requests")).agg(*[right(n, p) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    return judged.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n_requests", "p50_right", "p95_right", "p99_right")
+
+
 @query
 def a18_error_counts(spark, sf):
     broken = F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(F.lit("50"))

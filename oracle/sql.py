@@ -614,6 +614,8 @@ ORACLES["a17_ops_summary"] = decided(EVENTS, "SELECT count(*) AS n_requests, " +
     f"round(quantile_cont(latency_s, {p}), 6) AS {n}" for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))
 ) + ", " + ", ".join(f"round(avg(CASE WHEN predicted_action = '{a}' THEN 1e0 ELSE 0e0 END), 6) AS {a}_rate" for a in fv.ACTIONS)
     + ", round(avg(CASE WHEN event_type = 'view' THEN 1e0 ELSE 0e0 END), 6) AS model_call_rate FROM d")
+ORACLES["a17_latency_rollup"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_requests, true AS p50_right, true AS p95_right, true AS p99_right
+FROM events GROUP BY ALL"""
 ORACLES["a18_error_counts"] = "SELECT CASE WHEN event_type = 'error' THEN 'context' ELSE 'none' END AS error_type, count(*) AS n FROM events GROUP BY ALL"
 _CACHE = f"""WITH RECURSIVE e AS (SELECT sha256(text || ':' || context_type) AS k, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM ({EVENTS})),
 m(k, s) AS (SELECT k, min(s) FROM e GROUP BY k

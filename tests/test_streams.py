@@ -154,3 +154,16 @@ def test_queue_survives_replays(spark, tmp_path):
     assert live.queue_versions(spark, root) == [1, 2]
     live.advance_queue(batch.limit(0), 3, root, n=20)
     assert live.current_queue(spark, root).count() == 20
+
+
+def test_sketches_roll_up_within_their_error(spark):
+    frame = spark.range(60_000).select(F.timestamp_seconds(F.lit(int(START.timestamp())) + F.col("id") * 3).alias("ts"), (F.rand(3) * F.rand(4)).alias("latency_s"))
+    sketches = mt.latency_sketches(frame)
+    assert sketches.count() == 50
+    exact = frame.select(F.window("ts", "1 day")["start"].alias("start"), "latency_s").toPandas().groupby("start").latency_s
+    for row in mt.merged_latencies(sketches).collect():
+        values = exact.get_group(row.start)
+        assert row.n == len(values)
+        for p, q in ((0.5, row.p50), (0.95, row.p95), (0.99, row.p99)):
+            assert abs((values <= q).mean() - p) <= 2 * mt.SKETCH_ERROR
+    assert mt.merged_latencies(mt.latency_sketches(frame.limit(0))).count() == 0

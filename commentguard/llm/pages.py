@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
+
+from commentguard.plans.shared import written
 
 #: Bytes of HTML of a host that one suffix array covers; a larger host has several.
 PART_BYTES = 1_500_000
@@ -257,7 +262,12 @@ def main_texts(
     another, and all its blocks stay.  If the host has more pages than these,
     ``n_pages`` is their number and ``counts`` as in ``repeats``.
     """
-    found, n_pages = _streams(pages), n_pages or len(pages)
+    return _main_texts(_streams(pages), host, n_pages or len(pages), counts)
+
+
+def _main_texts(
+    found: list[tuple[bool, list[str]]], host: str, n_pages: int, counts: tuple[np.ndarray, np.ndarray] | None,
+) -> list[str]:
     shared = repeats([[t.split(" ") for t in texts] for _, texts in found], host, counts) if n_pages > 1 else None
     out = []
     for k, (marked, texts) in enumerate(found):
@@ -269,47 +279,126 @@ def main_texts(
     return out
 
 
+def _parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, n_bytes, whether an article is marked, and the blocks of every page, with a number to deal it by."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            found = _streams(batch.column(3).to_pylist())
+            deal = [xxhash.xxh32_intdigest(f"{task} {seen + k}") for k in range(len(found))]
+            seen += len(found)
+            made = [pa.array([m for m, _ in found], pa.bool_()), pa.array([t for _, t in found], pa.list_(pa.string())), pa.array(deal, pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in (0, 1, 2, 4)), *made], ["page_id", "url", "host", "n_bytes", "marked", "blocks", "deal"]
+            )
+
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, n_bytes long, marked boolean, blocks array<string>, deal long"
+    return pages.select("page_id", "url", host.alias("host"), "html", size.alias("n_bytes")).mapInArrow(parse, schema)
+
+
+def _windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """``window_counts`` of the pages of one part."""
+    streams = [[t.split(" ") for t in texts] for texts in table.column("blocks").to_pylist()]
+    return window_counts(streams, table.column("host")[0].as_py())
+
+
+def _window_rows(table: pa.Table, hashes: np.ndarray, counts: np.ndarray) -> pa.Table:
+    columns = {c: pa.array([table.column(c)[0].as_py()] * len(hashes), pa.int64()) for c in ("part", "seed", "parts")} if len(hashes) else {
+        c: pa.array([], pa.int64()) for c in ("part", "seed", "parts")
+    }
+    return pa.table(columns | {"hash": pa.array(hashes, pa.int64()), "n": pa.array(counts, pa.int64())})
+
+
+def _host_counts(dealt: DataFrame, marked: bool, open_hosts: bool) -> DataFrame:
+    """(part, hash, n): windows of a part, and on how many pages of the host they stand, where a page's text may depend on it.
+
+    Where all of a host's pages have a marked article, only windows on the share
+    ``ARTICLE_SHARE`` of its pages matter, and such a window is on that share of
+    the pages of one part at least.  These few are named by the parts and then
+    counted in all of them.  A host with other pages gives every window.
+    """
+    schema = "part long, seed long, parts long, hash long, n long"
+    none = pa.array([], pa.int64())
+    empty = pa.table({c: none for c in ("part", "seed", "parts", "hash", "n")})
+
+    def frequent(table: pa.Table) -> pa.Table:
+        if table.column("parts")[0].as_py() == 1 or table.column("open")[0].as_py():
+            return empty
+        hashes, counts = _windows(table)
+        often = counts >= ARTICLE_SHARE * table.num_rows
+        return _window_rows(table, hashes[often], counts[often])
+
+    def every(table: pa.Table) -> pa.Table:
+        if table.column("parts")[0].as_py() == 1 or not table.column("open")[0].as_py():
+            return empty
+        return _window_rows(table, *_windows(table))
+
+    def asked(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not table.num_rows or not wanted.num_rows:
+            return empty
+        hashes, counts = _windows(table)
+        known = np.isin(hashes, wanted.column("hash").to_numpy())
+        return _window_rows(table, hashes[known], counts[known])
+
+    counted = []
+    if marked:
+        named = dealt.groupBy("part").applyInArrow(frequent, schema).select("seed", "parts", "hash").distinct()
+        named = named.select("hash", "seed", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"))
+        named = named.select(F.xxhash64("seed", "k").alias("part"), "hash")
+        counted.append(dealt.groupBy("part").cogroup(named.groupBy("part")).applyInArrow(asked, schema))
+    if open_hosts:
+        counted.append(dealt.groupBy("part").applyInArrow(every, schema))
+    # A window has one row for each part of its host, not for each page.
+    rows = reduce(DataFrame.union, counted).select("part", "hash", "n")
+    return rows.withColumn("n", F.sum("n").over(Window.partitionBy("hash"))).where("n > 1")
+
+
 def extract_pages(pages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """page_id, url and text of every row of ``pages`` (page_id, url, html).
 
-    Pages are compared with all others of their host.  A host is dealt into
-    parts of about ``part_bytes`` of HTML by a hash of its pages, so that neither
-    memory nor a task grows with it.  Where that makes several parts, each gives
-    the hashes of its windows of ``LONG`` tokens with the pages they are on;
-    these are added up over the host, and each part gets back those of its own
-    that several pages have.  A null url is a host of its own, null or empty html
-    has an empty text, equal rows stay.
+    Pages are parsed once, and compared by their blocks with all others of their
+    host.  A host is dealt into parts of about ``part_bytes`` of HTML by the
+    place of its rows, so that neither memory nor a task grows with it, equal
+    rows included.  Where that makes several parts, windows of ``LONG`` tokens
+    are counted over the host (``_host_counts``), so that a text does not depend
+    on the deal.  A null url is a host of its own, null or empty html has an
+    empty text, equal rows stay.
     """
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes"), F.count("*").alias("n_pages"))
-    parts = sizes.select("host", "n_pages", F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / part_bytes).alias("parts"))
-    part = F.pmod(F.xxhash64("page_id", "url", "html"), "parts")
+    rows = written(_parsed(pages), "page-blocks")
+    sizes = rows.groupBy("host").agg(
+        F.sum("n_bytes").alias("bytes"), F.count("*").alias("n_pages"), F.max(~F.col("marked") & (F.size("blocks") > 0)).alias("open")
+    )
+    parts = sizes.select("host", "n_pages", "open", F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / part_bytes).alias("parts"))
+    several = F.col("parts") > 1
+    n_hosts, marked, open_hosts = parts.agg(
+        F.count("*"), F.count_if(several & ~F.col("open")), F.count_if(several & F.col("open"))
+    ).first()
     # The parts are few rows for each host; the pages themselves move once, to their part.
-    dealt = rows.join(F.broadcast(parts) if parts.count() <= 500_000 else parts, "host").withColumn("part", F.xxhash64("host", part))
+    dealt = rows.join(F.broadcast(parts) if n_hosts <= 500_000 else parts, "host").withColumn("seed", F.xxhash64("host"))
+    dealt = dealt.withColumn("part", F.xxhash64("seed", F.pmod("deal", "parts"))).select(
+        "part", "seed", "parts", "open", "n_pages", "host", "page_id", "url", "marked", "blocks"
+    )
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
 
-    def count(table: pa.Table) -> pa.Table:
-        hashes = counts = np.empty(0, np.int64)
-        if table.column("parts")[0].as_py() > 1:
-            found = _streams(table.column("html").to_pylist())
-            hashes, counts = window_counts([[t.split(" ") for t in texts] for _, texts in found], table.column("host")[0].as_py())
-        part = pa.array(np.full(len(hashes), table.column("part")[0].as_py()), pa.int64())
-        return pa.table({"part": part, "hash": pa.array(hashes, pa.int64()), "n": pa.array(counts, pa.int64())})
+    def texts_of(table: pa.Table, counts: tuple[np.ndarray, np.ndarray] | None) -> pa.Table:
+        texts = []
+        if table.num_rows:
+            found = list(zip(table.column("marked").to_pylist(), table.column("blocks").to_pylist(), strict=True))
+            texts = _main_texts(found, table.column("host")[0].as_py(), table.column("n_pages")[0].as_py(), counts)
+        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string())})
 
-    windows = dealt.groupBy("part").applyInArrow(count, "part long, hash long, n long")
-    # A window has one row for each part of its host, not for each page.
-    repeated = windows.groupBy("hash").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts")).where("n > 1")
-    repeated = repeated.select(F.explode("parts").alias("part"), "hash", "n")
+    def alone(table: pa.Table) -> pa.Table:
+        return texts_of(table, None)
 
     def extract(table: pa.Table, known: pa.Table) -> pa.Table:
-        counts = None
-        if known.num_rows:
-            hashes = known.column("hash").to_numpy()
-            order = np.argsort(hashes)
-            counts = hashes[order], known.column("n").to_numpy()[order]
-        first = {c: table.column(c)[0].as_py() for c in ("host", "n_pages")} if table.num_rows else {"host": "", "n_pages": 0}
-        texts = main_texts(table.column("html").to_pylist(), **first, counts=counts)
-        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string())})
-
-    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
-    return dealt.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(extract, schema)
+        hashes = known.column("hash").to_numpy() if known.num_rows else np.empty(0, np.int64)
+        order = np.argsort(hashes)
+        return texts_of(table, (hashes[order], known.column("n").to_numpy()[order]) if len(order) else None)
+
+    if not marked and not open_hosts:
+        return dealt.groupBy("part").applyInArrow(alone, schema)
+    known = _host_counts(dealt, marked > 0, open_hosts > 0)
+    return dealt.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(extract, schema)

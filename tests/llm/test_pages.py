@@ -92,6 +92,20 @@ def test_repeats_count_over_all_parts_of_a_host(spark):
     assert not any(notice in t or share in t for t in parts.values())
 
 
+def test_marked_hosts_count_few_windows_and_still_all_pages(spark):
+    """Hosts of marked pages only: shares just above and below half of the pages, in any deal, and equal rows."""
+    often, seldom = "one notice on a little more than half of all pages", "another notice on a little less than half of the pages"
+    pages = [
+        f"<article><p>{' '.join(f'story{k}x{j}' for j in range(12))}</p>{f'<p>{often}</p>' if k % 9 < 5 else ''}"
+        f"{f'<p>{seldom}</p>' if k % 9 > 4 else ''}</article>" for k in range(180)
+    ]
+    pages += [pages[0]] * 10 + [""]
+    frame = spark.createDataFrame([(k, f"http://h{k // 300}.example/", page) for k, page in enumerate(pages)], "page_id long, url string, html string")
+    whole, parts = ({r.page_id: r.text for r in extract_pages(frame, part_bytes=n).collect()} for n in (10**9, 900))
+    assert whole == parts == dict(enumerate(main_texts(pages)))
+    assert not any(often in t for t in parts.values()) and sum(seldom in t for t in parts.values()) == 80
+
+
 def test_blocks_lose_only_their_shared_runs():
     words = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
     shared = words("same", 85)

@@ -10,8 +10,9 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from commentguard.plans.shared import written
 
@@ -279,30 +280,40 @@ def _main_texts(
     return out
 
 
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+
+
 def _parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, n_bytes, whether an article is marked, and the blocks of every page, with a number to deal it by."""
+    """page_id, url, n_bytes, whether an article is marked, the blocks of every page (Zstandard), and a number to deal it by."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen = TaskContext.get().partitionId(), 0
+        task, seen, packer = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor()
         for batch in batches:
-            found = _streams(batch.column(3).to_pylist())
+            found = _streams(batch.column(2).to_pylist())
+            # Blocks hold no line end.
+            packed = [packer.compress("\n".join(t).encode()) if t else None for _, t in found]
             deal = [xxhash.xxh32_intdigest(f"{task} {seen + k}") for k in range(len(found))]
             seen += len(found)
-            made = [pa.array([m for m, _ in found], pa.bool_()), pa.array([t for _, t in found], pa.list_(pa.string())), pa.array(deal, pa.int64())]
+            made = [pa.array([m for m, _ in found], pa.bool_()), pa.array(packed, pa.binary()), pa.array(deal, pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in (0, 1, 2, 4)), *made], ["page_id", "url", "host", "n_bytes", "marked", "blocks", "deal"]
+                [*(batch.column(k) for k in (0, 1, 3)), *made], ["page_id", "url", "n_bytes", "marked", "blocks", "deal"]
             )
 
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
-    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, n_bytes long, marked boolean, blocks array<string>, deal long"
-    return pages.select("page_id", "url", host.alias("host"), "html", size.alias("n_bytes")).mapInArrow(parse, schema)
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, n_bytes long, marked boolean, blocks binary, deal long"
+    return pages.select("page_id", "url", "html", size.alias("n_bytes")).mapInArrow(parse, schema)
+
+
+def _unpacked(table: pa.Table) -> list[list[str]]:
+    """The blocks of each page of a part."""
+    packer = zstandard.ZstdDecompressor()
+    return [packer.decompress(p).decode().split("\n") if p else [] for p in table.column("blocks").to_pylist()]
 
 
 def _windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """``window_counts`` of the pages of one part."""
-    streams = [[t.split(" ") for t in texts] for texts in table.column("blocks").to_pylist()]
-    return window_counts(streams, table.column("host")[0].as_py())
+    return window_counts([[t.split(" ") for t in texts] for texts in _unpacked(table)], str(table.column("seed")[0].as_py()))
 
 
 def _window_rows(table: pa.Table, hashes: np.ndarray, counts: np.ndarray) -> pa.Table:
@@ -368,8 +379,9 @@ def extract_pages(pages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     empty text, equal rows stay.
     """
     rows = written(_parsed(pages), "page-blocks")
+    rows = rows.withColumn("host", _host(F.col("url")))
     sizes = rows.groupBy("host").agg(
-        F.sum("n_bytes").alias("bytes"), F.count("*").alias("n_pages"), F.max(~F.col("marked") & (F.size("blocks") > 0)).alias("open")
+        F.sum("n_bytes").alias("bytes"), F.count("*").alias("n_pages"), F.max(~F.col("marked") & F.col("blocks").isNotNull()).alias("open")
     )
     parts = sizes.select("host", "n_pages", "open", F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / part_bytes).alias("parts"))
     several = F.col("parts") > 1
@@ -379,15 +391,15 @@ def extract_pages(pages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     # The parts are few rows for each host; the pages themselves move once, to their part.
     dealt = rows.join(F.broadcast(parts) if n_hosts <= 500_000 else parts, "host").withColumn("seed", F.xxhash64("host"))
     dealt = dealt.withColumn("part", F.xxhash64("seed", F.pmod("deal", "parts"))).select(
-        "part", "seed", "parts", "open", "n_pages", "host", "page_id", "url", "marked", "blocks"
+        "part", "seed", "parts", "open", "n_pages", "page_id", "url", "marked", "blocks"
     )
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
 
     def texts_of(table: pa.Table, counts: tuple[np.ndarray, np.ndarray] | None) -> pa.Table:
         texts = []
         if table.num_rows:
-            found = list(zip(table.column("marked").to_pylist(), table.column("blocks").to_pylist(), strict=True))
-            texts = _main_texts(found, table.column("host")[0].as_py(), table.column("n_pages")[0].as_py(), counts)
+            found = list(zip(table.column("marked").to_pylist(), _unpacked(table), strict=True))
+            texts = _main_texts(found, str(table.column("seed")[0].as_py()), table.column("n_pages")[0].as_py(), counts)
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string())})
 
     def alone(table: pa.Table) -> pa.Table:

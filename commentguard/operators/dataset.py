@@ -1,10 +1,12 @@
 """Labelled examples: derived fields, label mapping, sampling, splits and ids."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from commentguard import fixed_values as fv
 from commentguard.functions import text as tx
-from commentguard.operators.ranks import ordered_ranks, shuffled_ranks
+from commentguard.operators.ranks import ordered_ranks, salted_join, shuffled_ranks
 from commentguard.plans.shared import written
 from commentguard.schemas import EXAMPLE_FIELDS
 
@@ -163,31 +165,48 @@ def uniquify_text(df: DataFrame, order: str) -> DataFrame:
 
     Where the longer text would pass the cap, the original gives way, so that
     the number always stays.  A text that another row has already, as given or
-    by such a cut, moves on to another number until none is left.  Only texts
-    that repeat are ranked.  Null texts stay null.
+    by such a cut, moves on to another number until none is left.  Null texts
+    stay null.
+
+    Only texts that repeat are ranked and written.  The hashes of all texts are
+    counted once; each round compares those of the rows that moved with what is
+    settled, and a settled row never moves again.
     """
-    hashed = df.withColumn("_h", F.sha2("text", 256))
-    repeated = hashed.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1 and _h is not null").select("_h", F.lit(True).alias("_again"))
-    repeated = written(repeated, "repeated-texts")
+    # The one-row generator keeps what the joins ask of the hash from being
+    # pushed below the text's own derivation, which would then run again there.
+    once_made = df.select(*[c for c in df.columns if c != "text"], F.inline(F.array(F.struct("text"))))
+    hashed = once_made.withColumn("_h", _digest())
+    hashes = written(hashed.groupBy("_h").agg(F.count("*").alias("_n")), "text-hashes")
+    repeated = hashes.where("_n > 1 and _h is not null").select("_h")
     if repeated.count() <= MAX_BROADCAST_TEXTS:
         repeated = F.broadcast(repeated)
-    marked = hashed.join(repeated, "_h", "left")
-    once = marked.where("_again is null").withColumn("_copy", F.lit(0).cast("long"))
-    several = written(marked.where("_again"), "copies")
-    ranks = ordered_ranks(several, ["_h"], order).withColumn("_copy", F.col("_rank") - 1).drop("_rank", "_group_size")
-    rows = once.unionByName(ranks.withColumn("_copy", F.col("_copy").cast("long")))
-    rows = rows.drop("_again", "_h").withColumns({"_original": F.col("text"), "_moved": F.lit(0).cast("long")})
-    rows = written(rows.withColumn("text", _numbered()), "unique-texts")
+    several = written(hashed.join(repeated, "_h", "left_semi"), "copies")
+    ranks = ordered_ranks(several, ["_h"], order).withColumn("_copy", (F.col("_rank") - 1).cast("long"))
+    ranks = ranks.drop("_rank", "_group_size", "_h").withColumns({"_original": F.col("text"), "_moved": F.lit(0).cast("long")})
+    ranks = written(ranks.withColumn("text", _numbered()).withColumn("_d", _digest()), "numbered-texts")
+
+    settled = [hashed.join(repeated, "_h", "left_anti"), ranks.where("_copy = 0")]
+    used, moving = [hashes.select(F.col("_h").alias("_d"))], ranks.where("_copy > 0")
     while True:
-        digest = F.sha2("text", 256)
-        taken = rows.groupBy(digest.alias("_d")).agg(F.count("*").alias("_n")).where("_n > 1 and _d is not null").select("_d", F.lit(True).alias("_taken"))
-        if taken.isEmpty():
-            return rows.select(*df.columns)
-        turn = F.row_number().over(Window.partitionBy("_d").orderBy(F.col("_copy") > 0, "_copy", order)) - 1
-        hit = rows.withColumn("_d", digest).join(taken, "_d", "left")
-        stay = hit.where("_taken is null").drop("_d", "_taken")
-        move = hit.where("_taken").withColumn("_moved", F.col("_moved") + turn * NEXT_NUMBER).drop("_d", "_taken")
-        rows = written(stay.unionByName(move.withColumn("text", _numbered())), "unique-texts")
+        wanted = moving.groupBy("_d").agg(F.count("*").alias("_n"))
+        held = reduce(DataFrame.union, used).withColumn("_held", F.lit(1))
+        clashes = wanted.join(held, "_d", "left").where("_n > 1 or _held = 1")
+        clashes = written(clashes.select("_d", F.coalesce("_held", F.lit(0)).alias("_held")), "text-clashes")
+        free = moving.join(clashes, "_d", "left_anti")
+        if clashes.isEmpty():
+            return reduce(DataFrame.union, [rows.select(*df.columns) for rows in [*settled, moving]])
+        turns = ordered_ranks(salted_join(moving, clashes, "_d", [order]), ["_d"], order)
+        turns = turns.withColumn("_turn", F.col("_rank") - 1 + F.col("_held")).drop("_rank", "_group_size", "_held")
+        turns = written(turns, "text-turns")
+        stay = [free.select(moving.columns), turns.where("_turn = 0").select(moving.columns)]
+        settled += stay
+        used += [rows.select("_d") for rows in stay]
+        moved = turns.where("_turn > 0").withColumn("_moved", F.col("_moved") + F.col("_turn") * NEXT_NUMBER).drop("_turn")
+        moving = written(moved.withColumn("text", _numbered()).withColumn("_d", _digest()), "moved-texts")
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2("text", 256))
 
 
 def _numbered() -> Column:

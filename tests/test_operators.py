@@ -263,3 +263,17 @@ def test_unique_texts_stay_unique_beside_taken_ones(spark):
     texts = [r.text for r in out if r.text is not None]
     assert len(out) == len(rows) and len(set(texts)) == len(texts) == len(rows) - 2
     assert sorted(r.i for r in out) == list(range(len(rows)))
+
+
+def test_many_texts_that_are_cut_to_the_same_one(spark):
+    # 60 long texts that differ behind the cut only, three times each: their copies clash with each other.
+    given = ["z" * fv.TEXT_CAP + f"{k:03d}" for k in range(60)] * 3
+    df = spark.createDataFrame(list(enumerate(given)), "i long, text string")
+    out = {r.i: r.text for r in ds.uniquify_text(df, "i").collect()}
+    assert len(out) == len(set(out.values())) == 180
+    assert all(out[i] == given[i] for i in range(60)) and all(len(out[i]) == fv.TEXT_CAP for i in range(60, 180))
+    # The first of a clash keeps its number; one that is taken as given moves on.
+    assert out[60].endswith(" Case 2.") and out[120].endswith(" Case 4.") and not out[61].endswith(" Case 2.")
+    more = spark.createDataFrame([*enumerate(given), (180, out[60])], "i long, text string")
+    again = {r.i: r.text for r in ds.uniquify_text(more, "i").collect()}
+    assert len(set(again.values())) == 181 and again[180] == out[60] != again[60]

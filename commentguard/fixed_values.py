@@ -416,3 +416,17 @@ POLICY_RULES = [
         "severity": "low",
     },
 ]
+
+# Devanagari letters and their romanisation by IAST, with ISO 15919
+# for the letters that only modern languages have.  Space separated, in the
+# order of the script's own table.
+IAST_VOWELS = "अ a आ ā इ i ई ī उ u ऊ ū ऋ ṛ ऌ ḷ ऍ ê ऎ e ए e ऐ ai ऑ ô ऒ o ओ o औ au ॠ ṝ ॡ ḹ"
+IAST_SIGNS = "ा ā ि i ी ī ु u ू ū ृ ṛ ॄ ṝ ॅ ê ॆ e े e ै ai ॉ ô ॊ o ो o ौ au ॢ ḷ ॣ ḹ"
+IAST_CONSONANTS = (
+    "क k ख kh ग g घ gh ङ ṅ च c छ ch ज j झ jh ञ ñ ट ṭ ठ ṭh ड ḍ ढ ḍh ण ṇ त t थ th द d ध dh न n ऩ ṉ "
+    "प p फ ph ब b भ bh म m य y र r ऱ ṟ ल l ळ ḷ ऴ ḻ व v श ś ष ṣ स s ह h "
+    "क़ q ख़ ḵẖ ग़ ġ ज़ z ड़ ṛ ढ़ ṛh फ़ f य़ ẏ"
+)
+IAST_NUKTA_PAIRS = "क़ q ख़ ḵẖ ग़ ġ ज़ z ड़ ṛ ढ़ ṛh फ़ f य़ ẏ"
+IAST_OTHERS = "ँ m̐ ं ṃ ः ḥ ऽ ’ । . ॥ .. ० 0 १ 1 २ 2 ३ 3 ४ 4 ५ 5 ६ 6 ७ 7 ८ 8 ९ 9 ॐ oṃ"
+VIRAMA, NUKTA = "्", "़"

@@ -75,13 +75,44 @@ def has_devanagari(c: Column | str) -> Column:
 
 
 def transliterate(c: Column | str, transliterator=None) -> Column:
-    """Devanagari runs to one space, or to what a given column function makes."""
+    """Devanagari runs to one space, or to what a given column function makes, such as ``iast``."""
     c = _text(c)
     if transliterator is None:
         return F.regexp_replace(c, fv.DEVANAGARI + "+", " ")
     return F.when(has_devanagari(c), transliterator(c)).otherwise(c)
 
 
+def _letters(table: str) -> dict[str, str]:
+    parts = table.split(" ")
+    return dict(zip(parts[::2], parts[1::2], strict=True))
+
+
+def iast(c: Column | str) -> Column:
+    """Devanagari to Latin letters by the IAST scheme; all other text stays.
+
+    A transducer over consonant, vowel sign and virama: a consonant that
+    neither sign nor virama follows takes its inherent ``a``; virama and nukta
+    go.  Marks without a letter of their own (accents) stay.  One test of the
+    following character and per-character maps: linear in the text, in the JVM.
+    """
+    consonants, signs = _letters(fv.IAST_CONSONANTS), _letters(fv.IAST_SIGNS)
+    c = F.regexp_replace(
+        _text(c), f"([{''.join(consonants)}]{fv.NUKTA}?+)(?![{''.join(signs)}{fv.VIRAMA}])", "$1a"
+    )
+    for pair, letters in _letters(fv.IAST_NUKTA_PAIRS).items():
+        c = F.replace(c, F.lit(pair), F.lit(letters))
+    one = consonants | signs | _letters(fv.IAST_VOWELS) | _letters(fv.IAST_OTHERS)
+    # Letters of which two or more come: all but the first are put behind the
+    # character, which is then mapped to the first like any other.
+    tails: dict[str, str] = {}
+    for letter, letters in one.items():
+        if len(letters) > 1:
+            tails[letters[1:]] = tails.get(letters[1:], "") + letter
+    for tail, those in tails.items():
+        c = F.regexp_replace(c, f"([{those}])", f"$1{tail}")
+    return F.translate(c, "".join(one) + fv.VIRAMA + fv.NUKTA, "".join(v[0] for v in one.values()))
+
+
 def mask_mentions(c: Column | str) -> Column:
     return F.regexp_replace(_text(c), _MENTION, f" {fv.MENTION_TOKEN} ")
 
@@ -144,13 +175,13 @@ def strip_symbols(c: Column | str) -> Column:
     return F.array_join(token_list(c), " ")
 
 
-def normalize_text(c: Column | str) -> Column:
+def normalize_text(c: Column | str, transliterator=None) -> Column:
     """The whole chain as one expression.
 
     ``operators.normalize.with_normalized`` gives the same text faster, as it
     skips steps a row does not need.
     """
-    c = mask_mentions(F.lower(transliterate(clean_characters(nfkc(c)))))
+    c = mask_mentions(F.lower(transliterate(clean_characters(nfkc(c)), transliterator)))
     c = deleet(squeeze_repeats(c))
     joined = F.get(F.transform(F.array(c), join_split_words), F.lit(0))
     return strip_symbols(undisguise_fuck(undisguise_shit(joined)))

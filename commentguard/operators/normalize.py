@@ -6,12 +6,15 @@ from commentguard.functions import text as tx
 
 
 def with_normalized(
-    df: DataFrame, text: str = "text", normalized: str = "normalized_text", tokens: str = "tokens"
+    df: DataFrame, text: str = "text", normalized: str = "normalized_text", tokens: str = "tokens",
+    transliterator=None,
 ) -> DataFrame:
     """Add the normalised text and its token list.
 
     Every step is a projection of its own, so a test that lets rows skip the
     step reads a finished value and nothing is computed twice.  No shuffle.
+    ``transliterator`` is a column function for Devanagari (``tx.iast``); without
+    one its runs become blanks.
     """
     work = "_norm"
 
@@ -29,7 +32,7 @@ def with_normalized(
 
     out = df.withColumn(work, tx.nfkc(text))
     out = step(out, only_if(beyond_ascii, tx.clean_characters))
-    out = step(out, only_if(beyond_ascii, tx.transliterate))
+    out = step(out, only_if(beyond_ascii, lambda c: tx.transliterate(c, transliterator)))
     out = step(out, F.lower)
     out = step(out, only_if(contains("@"), tx.mask_mentions))
     out = step(out, tx.squeeze_repeats)

@@ -98,6 +98,11 @@ def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What stands for a Devanagari character where a query needs some: letters and signs of each kind in turn.
+LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+AS_DEVANAGARI = "ाकखगिघङचेछजझञटोठडढण्तुथदधनपफबभमयरलवशषसहअआइईउऊऋएऐओऔंःँ़क़ॐ।०९ैौ"
+
+
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, id, part, text) of every document, conversation turn and event."""
     part = F.lit(0).cast("long")

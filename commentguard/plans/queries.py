@@ -70,6 +70,8 @@ _scalar("t02_strip_zero_width", tx.strip_zero_width)
 _scalar("t03_map_confusables", tx.map_confusables)
 _scalar("t04_has_devanagari", tx.has_devanagari)
 _scalar("t05_transliterate", tx.transliterate)
+# The tables hold no Devanagari: every Latin letter and digit stands for a character of the script.
+_scalar("t05_transliterate_iast", tx.iast, lambda c: F.translate(c, inp.LATIN, inp.AS_DEVANAGARI))
 _scalar("t06_lower", F.lower)
 _scalar("t07_mask_mentions", tx.mask_mentions, F.lower)
 _scalar("t08_squeeze_repeats", tx.squeeze_repeats, F.lower)

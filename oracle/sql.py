@@ -6,6 +6,7 @@ are a list filter.  Only the fixed values are shared.
 """
 
 from commentguard import fixed_values as fv
+from commentguard.plans.inputs import AS_DEVANAGARI, LATIN
 from commentguard.plans.sample_texts import SAMPLE_COMMENTS
 
 ORACLES: dict[str, str] = {}
@@ -279,6 +280,22 @@ scalar("t02_strip_zero_width", "array_to_string(list_filter(string_split(text, '
 scalar("t03_map_confusables", f"translate(text, {q(fv.CONFUSABLES_FROM)}, {q(fv.CONFUSABLES_TO)})")
 scalar("t04_has_devanagari", f"regexp_matches(text, '{DEVANAGARI}')")
 scalar("t05_transliterate", f"regexp_replace(text, '{DEVANAGARI}+', ' ', 'g')")
+
+
+def _letter_map(table: str) -> str:
+    parts = table.split(" ")
+    return f"MAP {{{', '.join(f'{q(a)}: {q(b)}' for a, b in zip(parts[::2], parts[1::2], strict=True))}}}"
+
+
+# Character by character: a consonant looks at the one or two that follow.
+ORACLES["t05_transliterate_iast"] = f"""WITH c AS (SELECT src, id, part, string_split(translate(text, {q(LATIN)}, {q(AS_DEVANAGARI)}), '') AS c FROM ({TEXTS})),
+m AS (SELECT {_letter_map(fv.IAST_CONSONANTS)} AS cons, {_letter_map(fv.IAST_SIGNS)} AS signs, {_letter_map(fv.IAST_NUKTA_PAIRS)} AS pairs,
+  {_letter_map(fv.IAST_VOWELS + ' ' + fv.IAST_SIGNS + ' ' + fv.IAST_OTHERS)} AS rest)
+SELECT src, id, part, array_to_string(list_transform(c, lambda x, i: CASE
+  WHEN cons[x] IS NOT NULL THEN coalesce(CASE WHEN c[i + 1] = '{fv.NUKTA}' THEN pairs[x || '{fv.NUKTA}'] END, cons[x])
+    || CASE WHEN signs[CASE WHEN c[i + 1] = '{fv.NUKTA}' THEN c[i + 2] ELSE c[i + 1] END] IS NOT NULL
+      OR coalesce(CASE WHEN c[i + 1] = '{fv.NUKTA}' THEN c[i + 2] ELSE c[i + 1] END, '') = '{fv.VIRAMA}' THEN '' ELSE 'a' END
+  WHEN x IN ('{fv.NUKTA}', '{fv.VIRAMA}') THEN '' ELSE coalesce(rest[x], x) END), '') AS value FROM c, m"""
 scalar("t06_lower", "lower(text)")
 scalar("t07_mask_mentions", mention("lower(text)"))
 ORACLES["t08_squeeze_repeats"] = (

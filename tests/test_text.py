@@ -5,6 +5,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from commentguard import fixed_values as fv
 from commentguard.functions import text as tx
 from commentguard.operators.normalize import with_normalized
 
@@ -71,3 +72,38 @@ def test_languages_and_labels(spark):
     assert [(r.j, r.l) for r in labels.select(tx.is_json("j").alias("j"), tx.is_json_list("j").alias("l")).collect()] == [
         (True, True), (True, False), (False, False), (False, False)]
     assert df.select(F.max(tx.has_devanagari("text"))).first()[0]
+
+
+def romanised(text):
+    """The scheme character by character."""
+    cons, signs, pairs = (tx._letters(t) for t in (fv.IAST_CONSONANTS, fv.IAST_SIGNS, fv.IAST_NUKTA_PAIRS))
+    rest, out, i = tx._letters(fv.IAST_VOWELS) | signs | tx._letters(fv.IAST_OTHERS), [], 0
+    while i < len(text):
+        x, i = text[i], i + 1
+        if x not in cons:
+            out.append("" if x in (fv.NUKTA, fv.VIRAMA) else rest.get(x, x))
+            continue
+        dotted = text[i : i + 1] == fv.NUKTA
+        i += dotted
+        out.append(pairs.get(x + fv.NUKTA, cons[x]) if dotted else cons[x])
+        if text[i : i + 1] not in signs and text[i : i + 1] != fv.VIRAMA:
+            out.append("a")
+    return "".join(out)
+
+
+def test_devanagari_to_latin_letters(spark):
+    words = {
+        "किताब": "kitāba", "हिन्दी": "hindī", "संस्कृतम्": "saṃskṛtam", "ज़िन्दगी": "zindagī", "लड़का": "laṛakā", "ॐ": "oṃ",
+        "क्षत्रिय": "kṣatriya", "ज्ञान": "jñāna", "दुःख": "duḥkha", "राम।": "rāma.", "१२ घर": "12 ghara", "अँ": "am̐", "ऐसा": "aisā",
+        "पढ़ाई": "paṛhāī", "औरत": "aurata", "खै": "khai", "सोऽहम्": "so’ham", "": "", "abc é": "abc é", "\u0915\u093c": "qa", "\u0958\u093f": "qi",
+    }
+    rng = random.Random(3)
+    script = [chr(c) for c in range(0x900, 0x980)] + list("कखगढफ") * 6 + [fv.NUKTA, fv.VIRAMA] * 12 + list(" ab$\\\n")
+    texts = ["".join(rng.choice(script) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    given = [*words, *texts, "कि" * 200_000, None]
+    rows = spark.createDataFrame(list(enumerate(given)), "id long, text string")
+    got = {r.id: r.value for r in rows.select("id", tx.iast("text").alias("value")).collect()}
+    assert [got[i] for i in range(len(words))] == list(words.values())
+    assert all(got[i] == (None if t is None else romanised(t)) for i, t in enumerate(given))
+    chain = with_normalized(rows.where("id < 2"), transliterator=tx.iast).withColumn("one", tx.normalize_text("text", tx.iast))
+    assert {(r.id, r.normalized_text, r.one) for r in chain.collect()} == {(0, "kit ba", "kit ba"), (1, "hind", "hind")}

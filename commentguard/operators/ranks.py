@@ -64,8 +64,10 @@ def shuffled_ranks(
     return ranked(df, group, ["_digest", key], F.substring("_digest", 1, prefix)).drop("_digest")
 
 
-def ordered_ranks(df: DataFrame, group: list[str], order: str, buckets: int | None = None) -> DataFrame:
-    """Ranks along a numeric column, cut at its approximate quantiles.
+def ordered_ranks(
+    df: DataFrame, group: list[str], order: str, buckets: int | None = None, ties: list[str] = []
+) -> DataFrame:
+    """Ranks along a numeric column, cut at its approximate quantiles; ``ties`` order what is equal there.
 
     One pass over that single column gives the cuts; only those reach the driver.
     There are as many as shuffle partitions, 64 at least.
@@ -75,4 +77,4 @@ def ordered_ranks(df: DataFrame, group: list[str], order: str, buckets: int | No
     cuts = sorted(set(cuts))
     listed = ", ".join(f"{c!r}D" for c in cuts) or "double('NaN')"
     bucket = F.expr(f"size(filter(array({listed}), c -> c <= double({order})))")
-    return ranked(df, group, [order], bucket)
+    return ranked(df, group, [order, *ties], bucket)

@@ -8,7 +8,8 @@ from commentguard.functions import text as tx
 from commentguard.functions.numeric import round_nearest
 from commentguard.operators import (
     dataset as ds, evaluation as ev, feedback as fb, feeds, lexicon as lx, lexicon_join as lj, metrics as mt,
-    moderation as mod, nearest as nn, quality as ql, ranking as rk, retrieval as rt, scoring as sc, training as tr,
+    moderation as mod, nearest as nn, quality as ql, ranking as rk, retrieval as rt, scoring as sc, threads as th,
+    training as tr,
 )
 from commentguard.operators.normalize import with_normalized
 from commentguard.plans import inputs as inp
@@ -890,6 +891,13 @@ def s10_flatten_threads(spark, sf):
     )
 
 
+@query
+def s10_order_threads(spark, sf):
+    """Branching threads: three turns answer the last turn of the three before."""
+    turns = inp.table(spark, sf, "conversations").withColumn("parent", F.when(F.col("turn") > 0, F.col("turn") - 1 - (F.col("turn") - 1) % 3))
+    return th.order_threads(turns, "conv_id", "turn", "parent", "turn").select("conv_id", "turn", "parent", "position", "depth", "text")
+
+
 @query
 def s11_upsert_rules(spark, sf):
     """One rule per source; sources with toxic documents change theirs, languages are new."""

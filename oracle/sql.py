@@ -709,6 +709,11 @@ ORACLES["s09_export_csv"] = decided(FEED, """SELECT conv_id || '-' || turn AS so
   predicted_category, predicted_severity, risk_score, reason_codes, reason FROM d""")
 ORACLES["s10_flatten_threads"] = """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, text, turn AS score,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS depth FROM conversations"""
+ORACLES["s10_order_threads"] = """WITH RECURSIVE c AS (SELECT *, CASE WHEN turn > 0 THEN turn - 1 - (turn - 1) % 3 END AS parent FROM conversations),
+w AS (SELECT conv_id, turn, [turn] AS path FROM c WHERE parent IS NULL
+  UNION ALL SELECT c.conv_id, c.turn, list_append(w.path, c.turn) FROM w JOIN c ON c.conv_id = w.conv_id AND c.parent = w.turn)
+SELECT conv_id, turn, parent, row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS position, len(path) - 1 AS depth, text
+FROM w JOIN c USING (conv_id, turn)"""
 ORACLES["s11_upsert_rules"] = """WITH r AS (SELECT source AS id, 'documents: ' || count(*) AS description FROM documents GROUP BY 1),
 c AS (SELECT source AS id, 'toxic: ' || count(*) AS description FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1)
 SELECT id, coalesce(c.description, r.description) AS description, CASE WHEN c.id IS NULL THEN 'allow' ELSE 'flag_for_review' END AS action, 'none' AS severity

@@ -604,9 +604,21 @@ ORACLES["d05_stratified_split"] = f"""WITH g AS (SELECT comment_id, scenario_id,
 SELECT comment_id, scenario_id, CASE WHEN r <= round_even(n * 0.7e0, 0) THEN 'train'
   WHEN r <= round_even(n * 0.7e0, 0) + round_even(n * 0.2e0, 0) THEN 'test' ELSE 'eval' END AS split FROM g"""
 ORACLES["d06_assign_ids"] = """SELECT doc_id AS comment_id, printf('example_%04d', row_number() OVER (ORDER BY doc_id)) AS example_id FROM documents"""
-ORACLES["d07_uniquify_text"] = f"""WITH c AS (SELECT comment_id, text, row_number() OVER (PARTITION BY text ORDER BY comment_id) - 1 AS k FROM ({EXAMPLES})),
-s AS (SELECT *, ' ' || [{', '.join(q(s) for s in fv.UNIQUE_SUFFIXES)}][(2 * k - 1) % 10 + 1] || ' Case ' || (2 * k) || '.' AS suffix FROM c)
-SELECT comment_id, CASE WHEN k = 0 THEN text ELSE left(text, CAST({fv.TEXT_CAP} - length(suffix) AS BIGINT)) || suffix END AS text FROM s"""
+# A text that another row has already, as given or settled in an earlier round, moves on to another number, as often as it takes.
+_NUMBERED = f"""left(text, CAST({fv.TEXT_CAP} - length(suffix) AS BIGINT)) || suffix"""
+_SUFFIX = f"""' ' || [{', '.join(q(s) for s in fv.UNIQUE_SUFFIXES)}][(2 * k - 1) % 10 + 1] || ' Case ' || (2 * k + moved) || '.'"""
+ORACLES["d07_uniquify_text"] = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT comment_id, text, row_number() OVER (PARTITION BY text ORDER BY comment_id) - 1 AS k FROM ({EXAMPLES})),
+given AS MATERIALIZED (SELECT DISTINCT text AS made FROM c WHERE text IS NOT NULL),
+m AS (SELECT 0 AS round, comment_id, text, k, moved, {_NUMBERED} AS made, false AS settled
+    FROM (SELECT *, {_SUFFIX} AS suffix FROM (SELECT *, CAST(0 AS BIGINT) AS moved FROM c WHERE k > 0 AND text IS NOT NULL))
+  UNION ALL SELECT round + 1, comment_id, text, k, moved, {_NUMBERED}, settled
+    FROM (SELECT *, {_SUFFIX} AS suffix FROM (SELECT round, comment_id, text, k, moved + turn * 1000003 AS moved, turn = 0 AS settled
+      FROM (SELECT *, CASE WHEN settled THEN 0 ELSE row_number() OVER (PARTITION BY made, settled ORDER BY comment_id) - 1 + CASE WHEN held THEN 1 ELSE 0 END END AS turn
+        FROM (SELECT m.*, bool_or(m.settled) OVER (PARTITION BY m.made) OR given.made IS NOT NULL AS held, bool_or(NOT m.settled) OVER () AS going
+          FROM m LEFT JOIN given ON m.made = given.made)
+        WHERE going))))
+SELECT comment_id, text FROM c WHERE k = 0 OR text IS NULL
+UNION ALL SELECT comment_id, made FROM m WHERE round = (SELECT max(round) FROM m)"""
 
 
 def keyword(words) -> str:

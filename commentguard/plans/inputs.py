@@ -4,7 +4,7 @@ The tables carry no thread context, so it is assigned from the row's id; every
 row of a table becomes a comment.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from commentguard import fixed_values as fv
 from commentguard.functions import text as tx
@@ -15,19 +15,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-# Rows of a table that are dealt out over the cores at most.
+# Rows of a table that are dealt out over the cores whatever their splits hold.
 SPREAD_ROWS = 1_000_000
+# Rows of one split at most; narrow rows lie by the million in one.
+TASK_ROWS = 250_000
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out when a small scan has fewer splits than the session has cores.
+def tasks_for(df: DataFrame) -> int | None:
+    """How many tasks to deal a scan's rows out to; None where the splits do as they are.
 
-    Text work is bound by the processor, and a small file is one task.  A
-    larger table is left as it is: its scan is parallel without a shuffle.
+    Text work is bound by the processor, and a small file is one task.  So is a
+    large one of narrow rows, whose splits are cut by bytes and by row groups:
+    the rows of each split are counted, which reads no column.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    few = df.rdd.getNumPartitions() < cores and df.count() <= SPREAD_ROWS
-    return df.repartition(cores) if few else df
+    sizes = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count("*").alias("n"))
+    rows, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    few = df.rdd.getNumPartitions() < cores and rows <= SPREAD_ROWS
+    return max(cores, -(-rows // TASK_ROWS)) if few or most > TASK_ROWS else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out where the scan's splits are fewer than the cores or hold too many rows.
+
+    Other tables are left as they are: their scan is parallel without a shuffle.
+    """
+    tasks = tasks_for(df)
+    return df.repartition(tasks) if tasks else df
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -83,10 +97,11 @@ def event_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, read as a stream."""
-    schema: T.StructType = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return with_sample_text(events)
+    """The same, read as a stream; its micro-batches are dealt out as the table is."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    tasks = tasks_for(table)
+    return with_sample_text(events.repartition(tasks) if tasks else events)
 
 
 def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:

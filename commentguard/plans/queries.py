@@ -624,8 +624,10 @@ def d10_default_context(spark, sf):
 
 @query
 def d11_replicate(spark, sf):
-    copies = ds.replicate(inp.event_comments(spark, sf), 5)
-    return copies.groupBy("copy", "context_type").agg(F.count("*").alias("n"), F.countDistinct("comment_id").alias("n_ids"))
+    # Equal rows are counted before they are replicated: a task holds an id once, not five times.
+    ids = inp.event_comments(spark, sf).groupBy("comment_id", "context_type").agg(F.count("*").alias("n"))
+    copies = ds.replicate(ids, 5)
+    return copies.groupBy("copy", "context_type").agg(F.sum("n").alias("n"), F.count("comment_id").alias("n_ids"))
 
 
 # --- Operations --------------------------------------------------------------
@@ -958,6 +960,8 @@ def _replayed(spark, logs: dict[str, tuple[DataFrame, str]], build, name: str, s
 
 def _arriving(spark, logs: dict[str, tuple[DataFrame, str]], root: str, slices: int = 3):
     """The logs as streams, once after each slice of time has been added to them."""
+    # Derived once; the edges and each slice are read from that.
+    logs = {log: (written(table, f"{log}-log"), ts) for log, (table, ts) in logs.items()}
     edges = [table.agg(F.min(ts).cast("timestamp_ltz"), F.max(ts).cast("timestamp_ltz")).first() for table, ts in logs.values()]
     edges = [x for x in edges if x[0] is not None]
     for k in range(slices):

@@ -74,9 +74,20 @@ def advance_queue(batch: DataFrame, batch_id: int, root: str, n: int = fv.REVIEW
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def newest_for_review(batch: DataFrame, n: int = fv.REVIEW_QUEUE_SIZE) -> DataFrame:
+    """The newest ``n`` comments of a table that go to review, moderated.
+
+    Only their action is decided for all comments; the other fields are made
+    for the ``n`` that stay.
+    """
+    acted = moderate(batch.withColumn("_row", F.struct(*batch.columns)), fields=["predicted_action"])
+    waiting = acted.where(F.col("predicted_action") == "flag_for_review").orderBy(F.desc("ts"), F.desc("comment_id")).limit(n)
+    return moderate(waiting.select("_row.*"))
+
+
 def start_queue(stream: DataFrame, root: str, checkpoint: str, n: int = fv.REVIEW_QUEUE_SIZE, **trigger) -> StreamingQuery:
     """Moderate a stream and keep the queue of its newest comments for review below ``root``."""
-    writer = moderate_stream(stream).writeStream.foreachBatch(lambda batch, batch_id: advance_queue(batch, batch_id, root, n))
+    writer = stream.writeStream.foreachBatch(lambda batch, batch_id: advance_queue(newest_for_review(batch, n), batch_id, root, n))
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 

@@ -15,7 +15,7 @@ Two forms give the same signals, and a list that a lexicon lacks is empty in bot
 import uuid
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from commentguard import fixed_values as fv
@@ -34,6 +34,8 @@ TONE_LISTS = ["positive", "negative"]
 MAX_LITERAL_PHRASES = 5_000
 # Phrases of one automaton; a larger lexicon is searched with several.
 PART_PHRASES = 200_000
+# Texts that lie in a worker as Python strings at once.
+PIECE = 128
 
 
 def build_lexicon(spark: SparkSession, lists: dict[str, list[str]] | None = None) -> DataFrame:
@@ -244,14 +246,18 @@ def lexicon_matches(lexicon: DataFrame, tokens: Column, normalized: Column, rule
         held = spark.sparkContext.broadcast([tuple(r) for r in of_part.collect()])
         key = uuid.uuid4().hex  # of the automaton, which a Python worker keeps
 
-        @F.pandas_udf("array<string>")
-        def scan(tokens: pd.Series, text: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<string>")
+        def scan(tokens: pa.Array, text: pa.Array) -> pa.Array:
             if key not in _AUTOMATA:
                 if len(_AUTOMATA) >= 4:
                     _AUTOMATA.clear()
                 _AUTOMATA[key] = _Scanner(held.value, rules)
-            scanner = _AUTOMATA[key]
-            return pd.Series([scanner.scan(a, b) for a, b in zip(tokens, text, strict=True)], dtype=object)
+            scanner, found = _AUTOMATA[key], []
+            # Tokens become Python's a few texts at a time: those of a batch take many times its bytes.
+            for start in range(0, len(text), PIECE):
+                some = (column.slice(start, PIECE).to_pylist() for column in (tokens, text))
+                found.append(pa.array([scanner.scan(a, b) for a, b in zip(*some, strict=True)], pa.list_(pa.string())))
+            return pa.chunked_array(found, pa.list_(pa.string())).combine_chunks()
 
         return scan(tokens, normalized)
 

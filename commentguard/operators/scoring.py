@@ -3,12 +3,15 @@
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from commentguard.functions import decision as dc
 from commentguard.operators.moderation import sentiment_balance
 
 MODEL_BATCH = 32
+# Texts that lie in a worker as Python strings at once, or one batch of the model.
+PIECE = 512
 
 
 def _in_batches(texts: list[str], call: Callable, size: int) -> list:
@@ -25,12 +28,16 @@ def register_scorer(scorer: Callable[[list[str]], list[float]], batch_size: int
     worker loads its model once.  NULL texts score NULL.
     """
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            given = batch.dropna()
-            scores = _in_batches(given.tolist(), scorer, batch_size)
-            yield pd.Series(scores, index=given.index, dtype="float64").reindex(batch.index)
+            out, size = [], max(PIECE, batch_size)
+            # Texts become Python's a piece at a time: a batch of them may be long.
+            for start in range(0, len(batch), size):
+                piece = batch.slice(start, size)
+                scores = iter(_in_batches(piece.drop_null().to_pylist(), scorer, batch_size))
+                out += [next(scores) if valid else None for valid in piece.is_valid().to_pylist()]
+            yield pa.array(out, pa.float64(), from_pandas=True)  # no number is null
 
     return score
 

@@ -6,14 +6,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from commentguard.operators.ranks import salted_join
 from commentguard.plans.shared import written
 
 #: Rules that stand for the regions of the table; these alone reach the driver.
 PIVOTS = 64
-#: Rules and queries of one matrix product.
-RULE_BLOCK, QUERY_BLOCK = 4_096, 1_024
+#: Rules and queries that meet as one row each.  A region of fewer rules is one block, so up to
+#: ``PIVOTS`` times as many rules a query is sent at most once for each pivot, and the volume grows with the table.
+RULE_BLOCK, QUERY_BLOCK = 16_384, 1_024
+#: Distances of one matrix product.
+CELLS = 4_194_304
 #: Tasks over which the queries that need one block of rules spread at most.
 SALTS = 8
 PAYLOAD = ("id", "action", "category", "severity")
@@ -88,6 +92,9 @@ def nearest_rules(queries: DataFrame, rules: DataFrame, k: int, max_distance: fl
     grouped = placed.withColumn("block", number.cast("long")).groupBy("block", "region").agg(F.collect_list(F.struct(*PAYLOAD, "embedding")).alias("r"))
     grouped = grouped.select("block", "region", *[F.col(f"r.{c}").alias(f"r_{c}") for c in PAYLOAD], F.flatten("r.embedding").alias("r_values"))
 
+    # Numbers given in single precision travel so.
+    given = queries.schema["embedding"].dataType
+    number_kind = np.float32 if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else np.float64
     limit = np.sqrt(max_distance) if max_distance >= 0 else -1.0
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +114,7 @@ def nearest_rules(queries: DataFrame, rules: DataFrame, k: int, max_distance: fl
                 needed = [b for c in np.flatnonzero(meets[some].any(0)).tolist() for b in range(first[regions[c]], first[regions[c]] + blocks[regions[c]])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part + count], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), batch.column("key").take(pa.array(some))),
-                     pa.array([vectors[some].tobytes()], pa.binary()), pa.array([radius[some].tobytes()], pa.binary()), pa.array([needed], pa.list_(pa.int64()))],
+                     pa.array([vectors[some].astype(number_kind).tobytes()], pa.binary()), pa.array([radius[some].tobytes()], pa.binary()), pa.array([needed], pa.list_(pa.int64()))],
                     ["query_block", "keys", "vectors", "radius", "needed"],
                 )
                 count += 1
@@ -122,25 +129,27 @@ def nearest_rules(queries: DataFrame, rules: DataFrame, k: int, max_distance: fl
         for batch in batches:
             for n in range(batch.num_rows):
                 one = {c: batch.column(c)[n] for c in batch.schema.names}
-                vectors = np.frombuffer(one["vectors"].as_py(), np.float64).reshape(-1, width)
+                vectors = np.frombuffer(one["vectors"].as_py(), number_kind).astype(np.float64).reshape(-1, width)
                 values = one["r_values"].values.to_numpy(zero_copy_only=False).reshape(-1, width)
                 radius, c = np.frombuffer(one["radius"].as_py(), np.float64), one["region"].as_py()
                 away, edge = _lengths(vectors, pivots[c : c + 1])[:, 0], rows[c]
-                active = np.flatnonzero(np.maximum(away - edge.hi, edge.lo - away) <= radius)
-                squares = (vectors[active] ** 2).sum(1)[:, None] + (values**2).sum(1) - 2 * vectors[active] @ values.T
-                slack = _slack(vectors, values) * (1 + np.abs(squares).max(initial=0)) ** 0.5
-                bound = (radius[active] ** 2 + slack)[:, None]
-                if k < len(values):
-                    bound = np.minimum(bound, np.partition(squares, k - 1, axis=1)[:, k - 1 : k] + slack)
-                near, which = np.nonzero(squares <= bound)
+                meets = np.flatnonzero(np.maximum(away - edge.hi, edge.lo - away) <= radius)
                 queries, places, distances = [], [], []
-                for q in np.unique(near).tolist():
-                    spots = which[near == q]
-                    exact = exact_distances(vectors[active[q]], values[spots])
-                    inside = exact <= max_distance
-                    queries += [active[q]] * int(inside.sum())
-                    places += spots[inside].tolist()
-                    distances += exact[inside].tolist()
+                stripe = max(1, CELLS // max(1, len(values)))
+                for active in (meets[at : at + stripe] for at in range(0, len(meets), stripe)):
+                    squares = (vectors[active] ** 2).sum(1)[:, None] + (values**2).sum(1) - 2 * vectors[active] @ values.T
+                    slack = _slack(vectors, values) * (1 + np.abs(squares).max(initial=0)) ** 0.5
+                    bound = (radius[active] ** 2 + slack)[:, None]
+                    if k < len(values):
+                        bound = np.minimum(bound, np.partition(squares, k - 1, axis=1)[:, k - 1 : k] + slack)
+                    near, which = np.nonzero(squares <= bound)
+                    for q in np.unique(near).tolist():
+                        spots = which[near == q]
+                        exact = exact_distances(vectors[active[q]], values[spots])
+                        inside = exact <= max_distance
+                        queries += [active[q]] * int(inside.sum())
+                        places += spots[inside].tolist()
+                        distances += exact[inside].tolist()
                 taken = pa.array(places, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [one["keys"].values.take(pa.array(queries, pa.int64())), pa.array(distances, pa.float64()), *[one[f"r_{p}"].values.take(taken) for p in PAYLOAD]],

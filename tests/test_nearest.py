@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from commentguard.operators import nearest as nn, retrieval as rt
 from commentguard.operators.moderation import moderate
+from commentguard.operators.ranks import salted_join as salted
 
 RULE = "id string, action string, category string, severity string, embedding array<double>"
 
@@ -72,3 +73,24 @@ def test_moderation_takes_rules_from_a_table(spark, monkeypatch):
     monkeypatch.setattr(rt, "LITERAL_RULES", 5)
     assert sorted(moderate(df, rules=rules).select("comment_id", "triggered_rules", "predicted_category").collect()) == want
     assert any(r.triggered_rules for r in want)
+
+
+def test_a_query_meets_a_region_once_and_travels_as_given(spark, monkeypatch, tmp_path):
+    """A region of 5,000 rules is one block; single precision stays so, whatever a stripe of the product holds."""
+    monkeypatch.setattr(nn, "PIVOTS", 2)
+    monkeypatch.setattr(nn, "CELLS", 20_000)
+    blocks = []
+    monkeypatch.setattr(nn, "salted_join", lambda left, right, *a, **b: (blocks.append(left.collect()), salted(left, right, *a, **b))[1])
+    vector = F.array(*[F.randn(d).cast("float") for d in range(4)])
+    rules = spark.range(10_000).select(F.concat(F.lit("r"), "id").alias("id"), *[F.lit("x").alias(c) for c in ("action", "category", "severity")], vector.alias("embedding"))
+    rules.write.parquet(f"{tmp_path}/rules")
+    rules = spark.read.parquet(f"{tmp_path}/rules")
+    queries = rules.where("id in ('r1', 'r50', 'r9999')").select(F.col("id").alias("comment_id"), "embedding")
+    got = {(r.comment_id, r["rank"]): r.id for r in nn.nearest_rules(queries, rules, 3, 50.0, "comment_id").collect()}
+    assert len({r.block for r in blocks[0]}) <= 2 and all(len(r.vectors) == 4 * 4 * len(r["keys"]) for r in blocks[0])
+    table = rules.toPandas()
+    matrix = np.array(table.embedding.tolist(), np.float64)
+    for name in ("r1", "r50", "r9999"):
+        own = matrix[table.index[table.id == name][0]]
+        order = np.lexsort((table.id.to_numpy(str), ((matrix - own) ** 2).sum(1)))[:3]
+        assert [got[name, k] for k in (1, 2, 3)] == table.id.to_numpy()[order].tolist()

@@ -34,6 +34,18 @@ def test_equals_automaton_and_plain_tests(spark, monkeypatch):
     assert lj.join_lexicon(df, lexicon.limit(0)).count() == 0 and lj.join_lexicon(df.limit(0), lexicon).count() == 0
 
 
+def test_rows_stay_where_they_are_and_nulls_match_nothing(spark):
+    """The rows are neither shuffled nor filtered by a second normalisation."""
+    rows = [(1, ["go", "die"], "go die"), (2, ["go", "die"], None), (3, None, "go die"), (4, ["ago", "dies", "go"], "ago dies go")]
+    df = spark.createDataFrame(rows, "comment_id long, tokens array<string>, normalized_text string")
+    df = df.withColumn("tokens", F.filter("tokens", lambda t: t != "never"))
+    lexicon = spark.createDataFrame([("threat", "go die"), ("threat", "go")], "list string, phrase string")
+    found = lj.join_lexicon(df, lexicon)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("filter(tokens") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, "threat", "go"), (1, "threat", "go die"), (4, "threat", "go"), (4, "threat", "go die")]
+
+
 def test_a_million_phrases(spark):
     """One word begins a third of the phrases and stands in every text."""
     i = F.col("id")

@@ -5,6 +5,9 @@ possible: matching is a join, rounding is decimal formatting, repeated letters
 are a list filter.  Only the fixed values are shared.
 """
 
+import html
+from html import entities
+
 from commentguard import fixed_values as fv
 from commentguard.plans.inputs import AS_DEVANAGARI, LATIN
 from commentguard.plans.sample_texts import SAMPLE_COMMENTS
@@ -352,9 +355,32 @@ ORACLES["t14_normalize_text"] = f"{_NORM_TEXTS}\nSELECT src, id, part, nt AS val
 ORACLES["t15_token_set"] = f"""{_NORM_TEXTS}
 SELECT src, id, part, len(list_distinct(toks)) AS n_tokens,
   md5(array_to_string(list_sort(list_distinct(toks)), ' ')) AS tokens_md5 FROM src JOIN norm USING (text)"""
-ORACLES["t19_plain_text"] = rf"""WITH u AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(html, '&amp;?', chr(2), 'g'),
-  '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), chr(2), '&') AS v FROM pages)
-SELECT page_id, trim(regexp_replace(v, '[\x09-\x0d\x1c-\x20\x{{85}}\x{{a0}}]+', ' ', 'g')) AS value FROM u""".replace("{{", "{").replace("}}", "}")
+#: Character references as HTML reads them: decimal, hexadecimal or by name, the last ; optional.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\x09\x0a\x0c <&#;]{1,32};?)"
+_NAMED = ", ".join(f"({q(name)}, {q(value)})" for name, value in sorted(entities.html5.items()))
+#: Numbers that the standard maps to other characters (those of Windows-1252 for 128 to 159), and those it leaves out.
+_RENUMBERED = ", ".join(f"({n}, {q(value)})" for n, value in sorted(html._invalid_charrefs.items()))
+_LEFT_OUT = ", ".join(map(str, sorted(html._invalid_codepoints)))
+# The longest known name counts, with or without its ;, and what follows it stays; a reference without one stays as it is.
+ORACLES["t19_plain_text"] = rf"""WITH named(name, value) AS (VALUES {_NAMED}), renumbered(n, value) AS (VALUES {_RENUMBERED}),
+u AS (SELECT row_number() OVER () AS row, page_id, coalesce(html, '') AS html FROM pages),
+cut AS (SELECT row, page_id, string_split_regex(html, '{_REFERENCE}') AS plain, regexp_extract_all(html, '{_REFERENCE}') AS refs FROM u),
+piece AS (SELECT row, page_id, unnest(range(len(plain))) AS k, unnest(plain) AS plain, unnest(refs) AS ref FROM cut),
+ref AS (SELECT DISTINCT ref FROM piece WHERE ref IS NOT NULL),
+numbered AS (SELECT ref, ltrim(regexp_extract(ref, '^&#[xX]?([0-9a-fA-F]+)', 1), '0') AS digits, lower(ref[3]) = 'x' AS hex FROM ref WHERE ref[2] = '#'),
+number AS (SELECT ref, CASE WHEN digits = '' THEN 0 WHEN length(digits) > 7 THEN 9999999
+  WHEN hex THEN CAST('0x' || digits AS BIGINT) ELSE CAST(digits AS BIGINT) END AS n FROM numbered),
+prefix AS (SELECT ref, substr(ref, 2) AS name, unnest(range(2, length(ref))) AS size FROM ref WHERE ref[2] <> '#'),
+decoded AS (
+  SELECT ref, CASE WHEN value IS NOT NULL THEN value WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533)
+    WHEN n IN ({_LEFT_OUT}) THEN '' ELSE chr(CAST(n AS INTEGER)) END AS value
+  FROM number LEFT JOIN renumbered USING (n)
+  UNION ALL
+  SELECT ref, arg_max(value || substr(prefix.name, size + 1), size)
+  FROM prefix JOIN named ON named.name = substr(prefix.name, 1, size) GROUP BY ref),
+v AS (SELECT row, page_id, string_agg(plain || coalesce(value, ref, ''), '' ORDER BY k) AS v
+  FROM piece LEFT JOIN decoded USING (ref) GROUP BY row, page_id)
+SELECT page_id, trim(regexp_replace(v, '{SPACES}+', ' ', 'g')) AS value FROM v"""
 ORACLES["t21_cache_key"] = f"SELECT comment_id, sha256(text || ':' || context_type) AS value FROM ({DOCS})"
 EMAIL = rf"regexp_matches(text, '[{WORD}.-]+@[{WORD}.-]+\.[{WORD}]+')"
 PHONE = rf"regexp_matches(' ' || text || ' ', '[^{WORD}]\d{{10,}}[^{WORD}]')"

@@ -107,3 +107,20 @@ def test_devanagari_to_latin_letters(spark):
     assert all(got[i] == (None if t is None else romanised(t)) for i, t in enumerate(given))
     chain = with_normalized(rows.where("id < 2"), transliterator=tx.iast).withColumn("one", tx.normalize_text("text", tx.iast))
     assert {(r.id, r.normalized_text, r.one) for r in chain.collect()} == {(0, "kit ba", "kit ba"), (1, "hind", "hind")}
+
+
+def test_the_sql_of_plain_text_reads_references_as_html_does(spark):
+    """Names cut off before their ;, the longest known name, numbers of other code pages, null."""
+    import duckdb
+    import pyarrow as pa
+
+    from oracle.sql import ORACLES
+
+    pages = [
+        (0, "a = &quot"), (1, "&quotb &copy2024 &middot"), (2, "&notit; &notin; &ampamp; &amp;lt;"), (3, None), (4, ""),
+        (5, "&#128;&#0;&#xD800;&#1;&#x1F600;&#99999999999; &#x &#; &"), (6, "x&nbsp;&#12288; y&NewLine;z"), (7, "&zzz; &&gt&a &acE;"),
+    ]
+    got = spark.createDataFrame(pages, "page_id long, html string").select("page_id", tx.plain_text("html"))
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [k for k, _ in pages], "html": pa.array([t for _, t in pages], pa.string())}))
+    assert {tuple(r) for r in got.collect()} == set(con.execute(ORACLES["t19_plain_text"]).fetchall())

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from commentguard.llm.links import bucket_links, components
+from commentguard.llm.links import bucket_links, components, mixed_links
 from commentguard.plans.shared import discard, written
 
 BINS, ROWS = 128, 4
 #: Candidates whose sketches agree in a share of bins that is further below the threshold are left out:
 #: that many standard deviations of the estimate, which for a short text has few bins of its own.
 DEVIATIONS = 4
+#: Pairs that are confirmed in one round, where there are fewer texts.
+ROUND = 100_000
 #: Rows of a table that is sent to all executors; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 SPACE = b" \t\n\x0b\x0c\r"
@@ -24,10 +27,10 @@ _STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB8
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; forgets them all at a million, so its size is bounded."""
+    """64-bit hashes of words; forgets them all at 200,000, so its size is bounded: some 30 MB in each worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -123,8 +126,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Texts with the same words are one class, which its smallest doc_id stands
     for.  Classes are banded by one-permutation signatures; candidates are
     star-shaped, at most two for each row of a bucket, and each is confirmed on
-    the full sets.  At a similarity of 0.8 a pair shares no bucket in less than
-    one of 10**7 cases.
+    the full sets.  Then all pairs of a bucket that are not connected yet are
+    candidates, so no link between classes that share a bucket is lost.  At a
+    similarity of 0.8 a pair shares no bucket in less than one of 10**7 cases.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -173,6 +177,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         own = min(len(set(x)), len(set(y)))  # bins that densification has not copied, or fewer
         return alike >= BINS * (share - DEVIATIONS * (share * (1 - share) / own) ** 0.5)
 
+    def all_close(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        alike = np.count_nonzero(xs[:, None] == ys[None], axis=2)
+        own = [1 + np.count_nonzero(np.diff(np.sort(s, axis=1), axis=1), axis=1) for s in (xs, ys)]
+        own = np.minimum(own[0][:, None], own[1])
+        return alike >= BINS * (share - DEVIATIONS * (share * (1 - share) / own) ** 0.5)
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = written(
         rows.mapInArrow(describe, "doc_id long, n_shingles long, text_key binary, signature binary"), "near-described"
@@ -187,15 +197,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = keys.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
     shared = written(shared.select("bucket"), "near-shared")
     nodes = written(keys.join(_small(shared), "bucket", "left_semi").select("node").distinct(), "near-nodes")
-    buckets = signatures.join(_small(nodes), "node", "left_semi").mapInArrow(sketched, "bucket long, node long, sketch binary")
-    buckets = buckets.join(_small(shared), "bucket", "left_semi")
-    pairs = written(bucket_links(buckets, close, partitions), "near-pairs")
-    discard(signatures, shared, nodes)
-    links = written(_confirmed(rows, pairs, width, percent), "near-links")
+    with_sketches = signatures.join(_small(nodes), "node", "left_semi").mapInArrow(sketched, "bucket long, node long, sketch binary")
+    buckets = with_sketches.join(_small(shared), "bucket", "left_semi")
+    links = _confirmed(rows, written(bucket_links(buckets, close, partitions), "near-pairs"), width, percent)
     # Copies of a class are linked with the document that stands for it.
-    copies = worded.join(classes.select("text_key", "node"), "text_key").where("doc_id <> node")
-    groups = written(components(links.union(copies.select("node", "doc_id"))), "near-groups")
-    discard(pairs, links, classes)
+    copies = worded.join(classes.select("text_key", "node"), "text_key").where("doc_id <> node").select("node", "doc_id")
+    copies = written(copies, "near-copies")
+    groups = written(components(links.union(copies)), "near-groups")
+    # What neighbours missed: all pairs of the buckets that hold several groups.
+    component = F.coalesce("component", "node").alias("component")
+    met = keys.join(_small(shared), "bucket", "left_semi").join(_small(groups), "node", "left").select("bucket", "node", component)
+    mixed = met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+    mixed = written(mixed.where("least <> most").select("bucket", "n"), "near-mixed")
+    rest = with_sketches.join(_small(mixed), "bucket").join(_small(groups), "node", "left").select("bucket", "node", "sketch", "n", component)
+    more = _confirmed(rows, written(mixed_links(rest, all_close, partitions), "near-pairs"), width, percent)
+    discard(signatures, shared, nodes, mixed, groups, classes)
+    groups = written(components(links.union(more).union(copies)), "near-groups")
+    discard(copies)
     narrow = described.select("doc_id", "n_shingles")
     found = narrow.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
@@ -206,10 +224,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def _confirmed(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity.
+    """The pairs whose full shingle sets reach the similarity; ``pairs`` is a written table, which goes.
 
-    Only texts that a pair names are moved, to where the first of the pair is.
-    Two rows may share a doc_id; every text of it is compared.
+    Only texts that a pair names are moved, to where the first of the pair is,
+    in rounds of as many pairs as there are texts.  Two rows may share a doc_id;
+    every text of it is compared.
     """
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +245,16 @@ def _confirmed(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
                 [batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"]
             )
 
-    firsts = pairs.select(F.col("a").alias("doc_id")).distinct()
-    left = rows.join(_small(firsts), "doc_id", "left_semi")
-    right = rows.select(F.col("doc_id").alias("b"), F.col("text").alias("y")).join(_small(pairs), "b")
-    joined = right.join(left.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-    return joined.mapInArrow(confirm, "a long, b long").distinct()
+    n = pairs.count()
+    texts = pairs.select("a").union(pairs.select("b")).distinct().count() if n > ROUND else 0
+    rounds = max(1, -(-n // max(ROUND, texts)))
+    links = []
+    for number in range(rounds):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == number) if rounds > 1 else pairs
+        firsts = some.select(F.col("a").alias("doc_id")).distinct()
+        left = rows.join(_small(firsts), "doc_id", "left_semi")
+        right = rows.select(F.col("doc_id").alias("b"), F.col("text").alias("y")).join(_small(some), "b")
+        joined = right.join(left.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
+        links.append(written(joined.mapInArrow(confirm, "a long, b long").distinct(), "near-links"))
+    discard(pairs)
+    return reduce(DataFrame.union, links)

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from commentguard.llm import links as crowds, near_dedup
 from commentguard.llm.links import components
 from commentguard.llm.near_dedup import BINS, near_duplicates, shingle_hashes, sketch
 
@@ -81,3 +82,21 @@ def test_sketch_agreement_estimates_similarity():
         true = len(set(one) & set(two)) / len(set(one) | set(two))
         assert abs(np.mean(sketch(x) == sketch(y)) - true) < 0.15
     assert len(set(sketch(shingle_hashes("one", 1)))) == 1 and len(sketch(shingle_hashes("one two", 1))) == BINS
+
+
+def test_large_groups_of_near_copies_lose_no_link(spark, monkeypatch):
+    """Texts with a long common passage share buckets, so the ends of a link are seldom neighbours there."""
+    monkeypatch.setattr(crowds, "BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "ROUND", 200, raising=False)
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    passage, docs = rng.choices(vocabulary, k=110), []
+    for _ in range(60):
+        words = passage + rng.choices(vocabulary, k=8)
+        copy = list(words)
+        for place in rng.sample(range(10, 115, 5), 3):
+            copy[place] = rng.choice(vocabulary)
+        docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(copy))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = near_duplicates(frame, 3, 85).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(docs, 3, 85)
